@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import linededup, quality
+from quillon.llm import jaccard, linededup, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_line_dedup": op4_line_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     }
 
 
@@ -32,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": linededup.sql(),
         "op7_quality_rules": quality.sql(),
+        "op9_ngram_jaccard_join": jaccard.sql(),
     }
