@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, jaccard, licenses, linededup, quality, toxicity
+from quillon.llm import bpe, jaccard, licenses, linededup, packing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.bundled(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": op1_license_scan,
         "op2_bpe": op2_bpe,
         "op4_line_dedup": op4_line_dedup,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_warc_bundles": op6_warc_bundles,
         "op7_quality_rules": op7_quality_rules,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_toxicity": op10_toxicity,
