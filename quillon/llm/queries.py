@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, jaccard, licenses, linededup, packing, quality, toxicity, warc
+from quillon.llm import ann, bpe, htmlcut, jaccard, licenses, linededup, packing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenised(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcut.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -49,10 +57,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_bpe": op2_bpe,
+        "op3_html_extraction": op3_html_extraction,
         "op4_line_dedup": op4_line_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_warc_bundles": op6_warc_bundles,
         "op7_quality_rules": op7_quality_rules,
+        "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_toxicity": op10_toxicity,
     }
