@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
-from quillon.llm.common import free, quoted
+from quillon.llm.common import free, quoted, written
 from quillon.llm.grams import buffers, slices
 
 #: The most labelled documents that the lexicon is fitted on.
@@ -218,8 +218,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labelled
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("x"), (F.xxhash64("doc_id", F.lit(1)) % 2 == 0).alias("half"))
     texts = docs.select(quoted(id_col).alias("i"), quoted(text_col).alias("t")).filter("t is not null")
-    words = texts.join(known, "i").select("i", "x", "half", F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))).alias("w")).filter("w <> ''")
-    sizes = {(r["x"], r["half"]): r["n"] for r in texts.join(known, "i").groupBy("x", "half").agg(F.count("*").alias("n")).collect()}
+    # At most ``labelled`` rows of three numbers are broadcast, whatever the size of the tables.
+    sample = written(texts.join(F.broadcast(known), "i"), "labelled")
+    words = sample.select("i", "x", "half", F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))).alias("w")).filter("w <> ''")
+    sizes = {(r["x"], r["half"]): r["n"] for r in sample.groupBy("x", "half").agg(F.count("*").alias("n")).collect()}
     n = {x: sizes.get((x, True), 0) + sizes.get((x, False), 0) for x in (0, 1)}
     if not n[0] or not n[1]:
         return {}, math.inf
