@@ -28,9 +28,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField
 
-from quillon.llm.common import free, quoted
+from quillon.llm.common import free, map_rows, quoted
 from quillon.llm.grams import slices
 
 #: How byte-level tokenizers of this family cut texts into words.
@@ -166,7 +166,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", tok
                 yield pa.RecordBatch.from_arrays([*b.slice(a, len(part)).columns, *made], [*b.schema.names, *names])
 
     kinds = [ArrayType(IntegerType()), BooleanType()]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(n, k) for n, k in zip(names, kinds)]]))
+    return map_rows(docs, run, [StructField(n, k) for n, k in zip(names, kinds)])
 
 
 def decode(df: DataFrame, path: str | None = None, tokens_col: str = "tokens", text_col: str = "decoded", pattern: str = PATTERN) -> DataFrame:
@@ -182,7 +182,7 @@ def decode(df: DataFrame, path: str | None = None, tokens_col: str = "tokens", t
                 texts.append(codec().decode(x) if known else None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, name])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, StringType())]))
+    return map_rows(df, run, [StructField(name, StringType())])
 
 
 def tokenised(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +63,22 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: Sequence[StructField]) -> DataFrame:
+    """``df`` with further columns from a function over Arrow batches, which yields all columns, those of ``df`` first.
+
+    Columns are numbered on the way, since names with dots can't be passed to such functions.
+    """
+    names = [f"c{i}" for i in range(len(df.columns) + len(added))]
+    fields = [*df.schema.fields, *added]
+    schema = StructType([StructField(n, f.dataType, True) for n, f in zip(names, fields)])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names)
+
+    return df.toDF(*names[: len(df.columns)]).mapInArrow(numbered, schema).toDF(*[f.name for f in fields])
+
+
 def with_text(df: DataFrame, text: Column, text_col: str, chars_col: str = "n_chars") -> DataFrame:
     """``df`` with another text; a numeric column of character counts, where there is one, follows."""
     new = {text_col: text}

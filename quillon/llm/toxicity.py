@@ -27,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField
 
-from quillon.llm.common import free, quoted, written
+from quillon.llm.common import free, map_rows, quoted, written
 from quillon.llm.grams import buffers, slices
 
 #: The most labelled documents that the lexicon is fitted on.
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labelled
     def gain(t: float) -> float:
         return sum(x for x, s in scores if s >= t) / n[1] - FALSE_ALARM * sum(1 - x for x, s in scores if s >= t) / n[0]
 
-    return weights, max(THRESHOLDS, key=lambda t: (round(gain(t), 9), t))
+    return weights, max(THRESHOLDS, key=lambda t: (round(gain(t), 9), -t))
 
 
 # Scoring
@@ -285,7 +285,7 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
             yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, toxic, score, found])
 
     made = [StructField(toxic, BooleanType()), StructField(score, DoubleType()), StructField(found, ArrayType(StringType()))]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *made]))
+    return map_rows(docs, run, made)
 
 
 def scan(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> DataFrame:

@@ -25,8 +25,9 @@ import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField
 
-from quillon.llm.common import free, quoted, shared_dir, written
+from quillon.llm.common import free, map_rows, quoted, shared_dir, written
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
@@ -190,12 +191,7 @@ def read(index: DataFrame, folder: str, content_col: str = "html") -> DataFrame:
                 out.append(found.decode() if found is not None else None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*fields, name])
 
-    near = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "begin")
-    return near.mapInArrow(run, _with(index, name))
-
-
-def _with(index: DataFrame, name: str) -> str:
-    return ", ".join([*[f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in index.schema.fields], f"`{name}` string"])
+    return map_rows(index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "begin"), run, [StructField(name, StringType())])
 
 
 def bundled(pages: DataFrame) -> DataFrame:
