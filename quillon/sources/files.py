@@ -19,7 +19,7 @@ def discover(spark: SparkSession, roots: Sequence[str], exclude: Sequence[str] =
     """(path, modificationTime, length, content) of the regular files under some roots.
 
     Excluded globs, files of other extensions (where some are given), of binary extensions and larger than the limit are left out;
-    the filters on path and length reach the scan, so such files are not read.
+    the filters on path and length reach the scan, so such files are not read. Empty files have no line to find and no row.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
     found = found.filter((F.col("length") <= most_bytes) & ~paths.has_binary_extension("path", binary))
