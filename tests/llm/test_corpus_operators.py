@@ -42,10 +42,11 @@ def test_line_dedup_equals_sql(spark):
 
 def test_line_dedup_is_shift_resistant(spark):
     rng = random.Random(1)
-    block = [prose(rng, 6) for _ in range(40)]
+    block = [prose(rng, 6) for _ in range(400)]
     df = docs(spark, ["\n".join(block), "\n".join(["a new first line", *block])])
     rest = {r["doc_id"]: r["text"].split("\n") for r in linededup.dedup(df).collect()}
-    assert rest[0] == block and len(rest[1]) < 8 and rest[1][0] == "a new first line"
+    # Single lines between two boundaries (a ninth of all) stay, and the chunk that the new line is in.
+    assert rest[0] == block and len(rest[1]) < 100 and rest[1][0] == "a new first line"
 
 
 def test_line_dedup_edges(spark):
@@ -228,7 +229,7 @@ def test_join_equals_brute_force(spark, block):
             assert (min(a, b), max(a, b)) not in got
             got[min(a, b), max(a, b)] = r["jaccard"]
     want = slow_pairs(rows)
-    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want) and len(want) > 50
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want) and len(want) > 20
 
 
 def test_join_equals_sql(spark):
@@ -239,7 +240,7 @@ def test_join_equals_sql(spark):
 def test_join_edges(spark):
     df = clashing(spark, [*HARD, "long " + prose(random.Random(1), 20_000), "short. word", "Short word"])
     rows = plain(jaccard.join(df).select("doc_ids", "n_first", "jaccard").collect())
-    assert rows == [((7, 7), 2, 1.0), ((11, 12), 2, 1.0)]
+    assert rows == plain([((7, 7), 2, 1.0), ((11, 12), 2, 1.0)])
     assert jaccard.join(df.limit(0)).count() == 0
     kept = jaccard.keep_one(df)
     assert kept.columns == df.columns
