@@ -8,7 +8,7 @@ has the cell.
 Every vector is a query. It goes to its ``cells`` nearest cells; in each, a priority queue holds the branches not yet taken, by the
 distance of their centroids, and the nearest is opened next until so many ``leaves`` were visited. The best of all cells are
 its neighbours. Both numbers are calibrated first, on a sample of queries whose exact neighbours are known from a pass over
-all vectors: the cells that hold enough of these, then the leaves, doubled until the recall is reached (or all are visited).
+all vectors: the cells that hold enough of these, then the leaves, widened until the recall is reached (or all are visited).
 
 Distance is Euclidean between vectors scaled to length 1 (cosine), or between the vectors as they are. Defined results: rows
 whose id is null, or whose vector is null, empty, of another length than most, or has null or not finite numbers,
@@ -36,6 +36,8 @@ RECALL = 0.95
 CELL_ROWS = 16_384
 LEAF_ROWS = 48
 BRANCHES = 8
+#: Queries that a task answers, about: a cell with more of them is searched by several tasks.
+UNIT_QUERIES = 8192
 #: Queries that the search is calibrated on, and Lloyd's steps of the first level.
 QUERIES, STEPS = 256, 5
 
@@ -100,35 +102,75 @@ class Tree:
         # Equal vectors: any split is as good, and keeps leaves small.
         return [*np.array_split(rows, ceil(len(rows) / self.leaf_rows))] if len(rows) > self.leaf_rows * self.branches else None
 
-    def search(self, q: np.ndarray, leaves: int) -> np.ndarray:
-        """The rows of the leaves that a query visits, best bin first."""
-        heap, count, out, left = [(0.0, 0)], 1, [], leaves
-        while heap and left:
-            _, node = heapq.heappop(heap)
-            while self.rows[node] is None:
-                d = self.centres[node] - q
-                d = np.einsum("ij,ij->i", d, d)
-                best = int(d.argmin())
-                for k, kid in enumerate(self.kids[node]):
-                    if k != best:
-                        heapq.heappush(heap, (float(d[k]), kid))
-                node = self.kids[node][best]
-            out.append(self.rows[node])
-            left -= 1
-            count += 1
-        return np.concatenate(out)
-
-
-def best(ids: np.ndarray, d: np.ndarray, me: object, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest ids, without the query's own, ties by id."""
-    other = ids != me
-    ids, d = ids[other], d[other]
-    if len(d) > k:
-        limit = np.partition(d, k - 1)[k - 1]
-        kept = d <= limit
-        ids, d = ids[kept], d[kept]
-    order = np.lexsort((ids, d))[:k]
-    return ids[order], d[order]
+    def finish(self) -> None:
+        """Numbers the leaves, and puts all centroids into one matrix: each query meets them in one product."""
+        self.leaf_of = [-1] * len(self.rows)
+        self.leaf_list: list[np.ndarray] = []
+        self.first = [0] * len(self.rows)
+        stacked, at = [], 0
+        for node, rows in enumerate(self.rows):
+            if rows is not None:
+                self.leaf_of[node] = len(self.leaf_list)
+                self.leaf_list.append(rows)
+            else:
+                self.first[node] = at
+                stacked.append(self.centres[node])
+                at += len(self.kids[node])
+        self.stack = np.concatenate(stacked) if stacked else None
+
+    def order(self, d: list[float], leaves: int) -> list[int]:
+        """The leaves that a query visits, best bin first. d: its distances to the stacked centroids."""
+        kids, first, leaf_of = self.kids, self.first, self.leaf_of
+        heap, out = [(0.0, 0)], []
+        push, pop = heapq.heappush, heapq.heappop
+        while heap and len(out) < leaves:
+            node = pop(heap)[1]
+            while kids[node]:
+                at, low, next_node = first[node], None, -1
+                for kid in kids[node]:
+                    gap = d[at]
+                    at += 1
+                    if low is None:
+                        low, next_node = gap, kid
+                    elif gap < low:
+                        push(heap, (low, next_node))
+                        low, next_node = gap, kid
+                    else:
+                        push(heap, (gap, kid))
+                node = next_node
+            out.append(leaf_of[node])
+        return out
+
+    def search(self, q: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query (squared distances, rows, visits) of all it meets, padded with infinity: by leaf, so that vectors are compared in blocks."""
+        leaves = min(leaves, self.leaves)
+        near = squares(q, self.stack).tolist() if self.stack is not None else [[]] * len(q)
+        visits = np.array([self.order(d, leaves) for d in near], dtype=np.int64)
+        widest = max(map(len, self.leaf_list))
+        shape = (len(q), leaves, widest)
+        d, rows = np.full(shape, np.inf, dtype=np.float32), np.zeros(shape, dtype=np.int32)
+        by_leaf = np.argsort(visits, axis=None, kind="stable")
+        flat = visits.reshape(-1)[by_leaf]
+        bounds = np.searchsorted(flat, np.arange(self.leaves + 1))
+        for leaf, members in enumerate(self.leaf_list):
+            pairs = by_leaf[bounds[leaf] : bounds[leaf + 1]]
+            if len(pairs):
+                who, place = pairs // leaves, pairs % leaves
+                d[who, place, : len(members)] = squares(q[who], self.x[members])
+                rows[who, place, : len(members)] = members
+        number = np.broadcast_to(np.arange(1, leaves + 1)[None, :, None], shape)
+        return d.reshape(len(q), -1), rows.reshape(len(q), -1), number.reshape(len(q), -1)
+
+
+def best(ids: np.ndarray, d: np.ndarray, me: object, k: int, repeated: bool = False) -> np.ndarray:
+    """The places of the k nearest ids, without the query's own, ties by id. repeated: ids may occur more than once; each counts once."""
+    at = np.flatnonzero((ids != me) & (d < np.inf))
+    if len(at) > k and not repeated:
+        at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
+    at = at[np.lexsort((ids[at], d[at]))]
+    if repeated:
+        at = at[np.sort(np.unique(ids[at], return_index=True)[1])]
+    return at[:k]
 
 
 # The search
@@ -175,8 +217,8 @@ def cells_of(vectors: DataFrame, count: int) -> np.ndarray:
     return centres
 
 
-def _visit(queries: DataFrame, vectors: DataFrame, centres: np.ndarray, k: int, cells: int, leaves: int, leaf_rows: int, kind: str) -> DataFrame:
-    """(id, neighbour, distance): the best k in the leaves that are visited in the ``cells`` nearest cells."""
+def _visit(queries: DataFrame, asked: int, vectors: DataFrame, centres: np.ndarray, k: int, cells: int, leaves: int, leaf_rows: int, kind: str) -> DataFrame:
+    """(id, neighbour, distance, visit): the best k in the leaves that are visited in the ``cells`` nearest cells; visit is the leaf's place in the visits of its cell."""
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def route(most: int, query: bool):
@@ -193,7 +235,12 @@ def _visit(queries: DataFrame, vectors: DataFrame, centres: np.ndarray, k: int,
         return run
 
     schema = f"cell int, query boolean, id {kind}, v array<float>"
-    all_rows = vectors.select("id", "v").mapInArrow(route(1, False), schema).union(queries.select("id", "v").mapInArrow(route(min(cells, len(centres)), True), schema))
+    cells = min(cells, len(centres))
+    # A unit of work is a cell with a part of its queries. How many parts depends on the cells that a query goes to, not on the table.
+    parts = max(1, ceil(asked * cells / len(centres) / UNIT_QUERIES))
+    data = vectors.select("id", "v").mapInArrow(route(1, False), schema).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    questions = queries.select("id", "v").mapInArrow(route(cells, True), schema).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    all_rows = data.union(questions)
 
     def search(table: pa.Table) -> pa.Table:
         asked = table.column("query").to_numpy()
@@ -205,27 +252,35 @@ def _visit(queries: DataFrame, vectors: DataFrame, centres: np.ndarray, k: int,
         out: list[tuple] = []
         if len(data):
             tree = Tree(data, leaf_rows, BRANCHES, int(table.column("cell")[0].as_py()))
-            for me, q in zip(ids[asked], x[asked]):
-                rows = tree.search(q, leaves)
-                gap = data[rows] - q
-                found, d = best(names[rows], np.einsum("ij,ij->i", gap, gap), me, k)
-                out.append((me, found, d))
-        sizes = [len(f) for _, f, _ in out]
+            tree.finish()
+            repeated = len(np.unique(names)) < len(names)
+            q, me = x[asked], ids[asked]
+            step = max(1, 4_000_000 // (min(leaves, tree.leaves) * max(map(len, tree.leaf_list))))
+            for i in range(0, len(q), step):
+                d, rows, visits = tree.search(q[i : i + step], leaves)
+                # Only what is as near as the k-th other can be among the best.
+                most = np.partition(d, k, axis=1)[:, k] if d.shape[1] > k and not repeated else np.full(len(d), np.inf, dtype=np.float32)
+                who, where = np.nonzero((d <= most[:, None]) & (d < np.inf))
+                bounds = np.searchsorted(who, np.arange(len(d) + 1))
+                for j in range(len(d)):
+                    near = where[bounds[j] : bounds[j + 1]]
+                    near = near[best(names[rows[j, near]], d[j, near], me[i + j], k, repeated)]
+                    out.append((me[i + j], names[rows[j, near]], d[j, near], visits[j, near]))
+        sizes = [len(o[1]) for o in out]
         many = lambda i, empty: np.concatenate([o[i] for o in out]) if out else empty
+        kind = table.schema.field("id").type
         return pa.table(
             {
-                "id": pa.array(np.repeat(np.array([o[0] for o in out], dtype=ids.dtype), sizes), table.schema.field("id").type),
-                "neighbour": pa.array(many(1, ids[:0]), table.schema.field("id").type),
+                "id": pa.array(np.repeat(np.array([o[0] for o in out], dtype=ids.dtype), sizes), kind),
+                "neighbour": pa.array(many(1, ids[:0]), kind),
                 "distance": pa.array(np.sqrt(many(2, np.zeros(0))).astype(np.float64)),
+                "visit": pa.array(many(3, np.zeros(0)).astype(np.int32)),
             }
         )
 
-    found = all_rows.groupBy("cell").applyInArrow(search, f"id {kind}, neighbour {kind}, distance double")
-    if cells == 1:
-        return found
-    place = W.partitionBy("id").orderBy("distance", "neighbour")
+    found = all_rows.groupBy("cell", "part").applyInArrow(search, f"id {kind}, neighbour {kind}, distance double, visit int")
     # A repeated query or neighbour is found more than once.
-    return found.distinct().withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k).drop("place")
+    return found.groupBy("id", "neighbour").agg(F.min("distance").alias("distance"), F.min("visit").alias("visit"))
 
 
 def exact(queries: DataFrame, vectors: DataFrame, k: int, kind: str) -> DataFrame:
@@ -241,11 +296,13 @@ def exact(queries: DataFrame, vectors: DataFrame, k: int, kind: str) -> DataFram
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False)
             d = squares(x, matrix(b.column(1)))
-            got = [best(ids, row, me, k) for me, row in zip(names, d)]
-            sizes = [len(f) for f, _ in got]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes), b.schema.field(0).type), pa.array(np.concatenate([f for f, _ in got]), b.schema.field(0).type), pa.array(np.sqrt(np.concatenate([d for _, d in got])).astype(np.float64))], ["id", "neighbour", "distance"])
+            repeated = len(np.unique(ids)) < len(ids)
+            got = [best(ids, row, me, k, repeated) for me, row in zip(names, d)]
+            kind = b.schema.field(0).type
+            columns = [pa.array(np.repeat(names, [len(at) for at in got]), kind), pa.array(ids[np.concatenate(got)], kind), pa.array(np.sqrt(np.concatenate([row[at] for row, at in zip(d, got)])).astype(np.float64))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "neighbour", "distance"])
 
-    found = vectors.select("id", "v").mapInArrow(run, f"id {kind}, neighbour {kind}, distance double").distinct()
+    found = vectors.select("id", "v").mapInArrow(run, f"id {kind}, neighbour {kind}, distance double").groupBy("id", "neighbour").agg(F.min("distance").alias("distance"))
     return found.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("distance", "neighbour"))).filter(F.col("place") <= k).drop("place")
 
 
@@ -262,14 +319,11 @@ def calibrate(vectors: DataFrame, centres: np.ndarray, k: int, recall: float, qu
     order = {i: np.argsort(np.argsort(squares(v[None], centres)[0], kind="stable")) for i, v in asked.items()}
     places = np.sort([order[r["id"]][c] for r, c in zip(known, own)])
     cells = int(places[min(len(places) - 1, int(len(places) * (1 + recall) / 2))]) + 1
-    leaves, most = 2, ceil(2 * CELL_ROWS / leaf_rows) * 8
-    total = truth.count()
-    while leaves < most:
-        found = _visit(sample, vectors, centres, k, cells, leaves, leaf_rows, kind)
-        if found.join(truth.select("id", "neighbour"), ["id", "neighbour"], "left_semi").distinct().count() >= recall * total:
-            break
-        leaves *= 2
-    return cells, leaves
+    # The sample visits all leaves of its cells once. The visits are widened until enough of the neighbours were met.
+    met = _visit(sample, queries, vectors, centres, k, cells, 1 << 30, leaf_rows, kind).join(truth.select("id", "neighbour"), ["id", "neighbour"], "left_semi")
+    visits = sorted(r["visit"] for r in met.select("visit").collect())  # of the sample only
+    wanted = min(len(visits), ceil(recall * truth.count()))
+    return cells, max(2, visits[wanted - 1]) if visits else 2
 
 
 def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, recall: float = RECALL, cell_rows: int = CELL_ROWS, leaf_rows: int = LEAF_ROWS, queries: int = QUERIES, cosine: bool = True) -> DataFrame:
@@ -281,6 +335,6 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         return fine.sparkSession.createDataFrame([], f"vec_id {kind}, neighbour {kind}, distance double, place int")
     centres = cells_of(fine, ceil(count / cell_rows))
     cells, leaves = calibrate(fine, centres, k, recall, queries, leaf_rows, kind)
-    found = _visit(fine, fine, centres, k, cells, leaves, leaf_rows, kind).distinct()
+    found = _visit(fine, count, fine, centres, k, cells, leaves, leaf_rows, kind)
     place = F.row_number().over(W.partitionBy("id").orderBy("distance", "neighbour"))
-    return found.withColumn("place", place).select(F.col("id").alias("vec_id"), "neighbour", "distance", "place")
+    return found.withColumn("place", place).filter(F.col("place") <= k).select(F.col("id").alias("vec_id"), "neighbour", "distance", "place")
