@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import jaccard, linededup, packing, quality, toxicity
+from quillon.llm import jaccard, packing, passages, quality, toxicity
 from quillon.llm.common import written
 
 
@@ -29,8 +29,8 @@ def poor_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def repeated_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that occur before, anywhere in the corpus, go."""
-    return linededup.dedup(docs)
+    """Passages of over 50 words and chunks of lines that occur before, anywhere in the corpus, go."""
+    return passages.dedup(docs)
 
 
 def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,19 +62,28 @@ def units(docs: DataFrame, text_col: str, key: list[str], divisor: int, long_wor
     return inner.select(*key, F.inline(texts))
 
 
+def repeated_lines(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS, least_lines: int = LEAST_LINES, most_words: int | None = None) -> DataFrame:
+    """``i``, ``t`` and the lines ``s`` that go, of documents ``i``, ``t`` with text ``x``; most_words: longer units are left out."""
+    parts = units(docs, "x", ["i", "t"], divisor, long_words, least_lines)
+    same = parts.withColumn("h", F.xxhash64("u"))
+    if most_words is not None:  # white space at the ends makes up to two empty parts; such short texts are shuffled at once
+        same = same.filter(F.size(F.split("u", r"[ \t\n\x0B\f\r]+")) <= most_words + 2)
+    else:
+        hashed = parts.select("i", "t", "a", "b", F.xxhash64("u").alias("h"))
+        often = hashed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+        same = same.join(often, "h", "left_semi")
+    # Bytes are compared here: a partition of the window has one text.
+    place = W.partitionBy("h", "u").orderBy(F.col("i").asc_nulls_last(), "t", "a")
+    nth = same.withColumn("nth", F.dense_rank().over(place)).filter("nth > 1")
+    return nth.select("i", "t", F.sequence("a", "b").alias("s")).groupBy("i", "t").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS, least_lines: int = LEAST_LINES) -> DataFrame:
     """``docs`` without the repeated units, in the columns of ``docs``."""
     i, t, gone, left = free(docs, "i", "t", "gone", "left")
     keyed = docs.withColumns({i: quoted(id_col), t: F.xxhash64(quoted(text_col))})
     # A document is its id and the hash of its text.
-    parts = units(keyed.select(quoted(i).alias("i"), quoted(t).alias("t"), quoted(text_col).alias("x")), "x", ["i", "t"], divisor, long_words, least_lines)
-    hashed = parts.select("i", "t", "a", "b", F.xxhash64("u").alias("h"))
-    often = hashed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    same = parts.withColumn("h", F.xxhash64("u")).join(often, "h", "left_semi")
-    # Bytes are compared here: a partition of the window has one text.
-    place = W.partitionBy("h", "u").orderBy(F.col("i").asc_nulls_last(), "t", "a")
-    nth = same.withColumn("nth", F.dense_rank().over(place)).filter("nth > 1")
-    repeated = nth.select("i", "t", F.sequence("a", "b").alias("s")).groupBy("i", "t").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
+    repeated = repeated_lines(keyed.select(quoted(i).alias("i"), quoted(t).alias("t"), quoted(text_col).alias("x")), divisor, long_words, least_lines)
     right = repeated.select(F.col("i").alias("ri"), F.col("t").alias("rt"), F.col("s").alias(gone))
     both = keyed.join(right, quoted(i).eqNullSafe(F.col("ri")) & (quoted(t) == F.col("rt")), "left")
     lines = F.filter(F.split(quoted(text_col), "\n", -1), lambda _, k: ~F.array_contains(quoted(gone), k))

@@ -1,0 +1,202 @@
+"""Passage dedup: every run of more than 50 words that occurs before, anywhere in the corpus, is cut out, wherever it begins and ends.
+
+``linededup`` removes whole chunks of lines. This adds the passages whose edges lie inside chunks or inside lines, and cuts
+what either rule finds; chunks of up to 50 words, which are no passages, go by the first rule alone.
+
+A word is what stands between ASCII white space. Of the hashes of 24 words in a row, the lowest of each run of 51 words
+(its seed) depends on nothing but the run, so equal runs have equal seeds at the same place, wherever they lie. First the
+hashes of the seeds alone are shuffled. Around seeds whose hash occurs more than once, the text of the runs that have this
+seed is sent, and the bytes themselves are compared, white space between the words included. Each run belongs to one seed,
+so no repeated run is missed.
+
+Defined results: as in ``linededup``; the first occurrence stays, in order of id (null ids last), hash of the text and position; in one document a run
+counts as repeated only where it doesn't overlap its first occurrence. Longer repeats are the sum of their runs. White space
+around a cut closes up, a line of which nothing is left goes, and so does a document without lines. One task holds the different
+runs around one seed in memory.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+
+from quillon.llm import linededup
+from quillon.llm.common import free, quoted, with_text
+from quillon.llm.grams import _STEP, buffers, mix, slices
+
+#: A repeated run of so many words goes.
+RUN = 51
+#: Words of a seed.
+SEED = 24
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WORD = re.compile(rb"[^ \t\n\x0b\f\r]+")
+
+
+def seeds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each seed of all rows: its hash, row, word (of all rows), the first and the last word where a run of it begins; then where each word begins and ends, and the first word of each row."""
+    none = tuple(np.zeros(0, dtype=np.int64) for _ in range(8))
+    if not len(data):
+        return none
+    inside = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(inside & np.append(True, ~inside[:-1] | edge[1:-1]))
+    if len(starts) < RUN:
+        return none
+    lengths = np.flatnonzero(inside & np.append(~inside[1:] | edge[1:-1], True)) + 1 - starts
+    hashes = np.zeros(len(starts), dtype=np.uint64)
+    eights = np.ndarray(len(data), dtype="<u8", buffer=np.append(data, np.zeros(8, dtype=np.uint8)), strides=(1,))
+    todo, at = np.arange(len(starts)), starts
+    while len(todo):  # eight bytes of each word that has more
+        over = lengths[todo] - (at - starts[todo])
+        part = eights[at] << (8 * (8 - np.minimum(over, 8))).astype(np.uint64)
+        hashes[todo] = mix(hashes[todo] * _STEP + part + np.minimum(over, 8).astype(np.uint64))
+        more = over > 8
+        todo, at = todo[more], at[more] + 8
+    rows = np.searchsorted(offsets, starts, side="right") - 1
+    # Polynomials of 2, 4, 8, 16 words, and of 16 and 8.
+    power, sums = _STEP, {1: hashes}
+    for k in (1, 2, 4, 8):
+        sums[2 * k] = sums[k][:-k] * power + sums[k][k:]
+        eight, power = power, power * power
+    grams = mix(sums[16][: len(starts) - SEED + 1] * eight + sums[8][16:])
+    # The lowest, and the first of equal ones, over 1, 2, 4 ... places.
+    low, place, width, wanted = grams, np.arange(len(grams)), 1, RUN - SEED + 1
+    while width < wanted:
+        step = min(width, wanted - width)
+        right = low[step:] < low[:-step]
+        low, place, width = np.where(right, low[step:], low[:-step]), np.where(right, place[step:], place[:-step]), width + step
+    begins = np.flatnonzero(rows[: len(place)] == rows[RUN - 1 :])
+    if not len(begins):
+        return none
+    seed = place[begins]
+    new = np.flatnonzero(np.append(True, (seed[1:] != seed[:-1]) | (begins[1:] != begins[:-1] + 1)))
+    last = begins[np.append(new[1:], len(begins)) - 1]
+    words = np.searchsorted(rows, np.arange(len(offsets) - 1))
+    return grams[seed[new]].view(np.int64), rows[begins[new]], seed[new], begins[new], last, starts, starts + lengths, words
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for first, part in slices(b.column(2)):
+            h, row, *_ = seeds(*buffers(part))
+            rows = pa.array(row + first)
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(rows), b.column(1).take(rows)], ["h", "i", "t"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of all runs of each seed whose hash is among ``hs``."""
+    for b in batches:
+        for first, part in slices(b.column(2)):
+            data, offsets = buffers(part)
+            h, row, _, a, z, starts, ends, words = seeds(data, offsets)
+            often = np.isin(h, b.column(3).slice(first, len(part)).flatten().to_numpy(zero_copy_only=False))
+            h, row, a, z = h[often], row[often], a[often], z[often]
+            rows, raw = pa.array(row + first), data.tobytes()
+            left, right = starts[a] if len(a) else a, ends[z + RUN - 1] if len(a) else a
+            texts = pa.array([raw[x:y] for x, y in zip(left.tolist(), right.tolist())], pa.binary())
+            p, at = (a - words[row]).astype(np.int32) if len(a) else a.astype(np.int32), (left - offsets[row]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(rows), b.column(1).take(rows), pa.array(p), pa.array(at), texts], ["h", "i", "t", "p", "at", "x"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of repeated runs, from windows in order of hash and place."""
+    now, seen, whole = None, {}, {}
+    for b in batches:
+        rows, froms, tos = [], [], []
+        ids, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
+        for r, (h, p, at, x) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist())):
+            if h != now:
+                now, seen, whole = h, {}, {}
+            doc = (ids[r], texts[r])
+            if whole.setdefault(x, doc) != doc:  # its runs came before, in other documents
+                rows.append(r)
+                froms.append(at)
+                tos.append(at + len(x))
+                continue
+            found = [m.span() for m in _WORD.finditer(x)]
+            end = -1
+            for g in range(len(found) - RUN + 1):
+                a, z = found[g][0], found[g + RUN - 1][1]
+                other, q = seen.setdefault(x[a:z], (doc, p + g))
+                if other != doc or p + g >= q + RUN:
+                    if a < end:
+                        tos[-1] = at + z
+                    else:
+                        rows.append(r)
+                        froms.append(at + a)
+                        tos.append(at + z)
+                    end = z
+        took = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(1).take(took), b.column(2).take(took), pa.array(froms, pa.int32()), pa.array(tos, pa.int32())], ["i", "t", "a", "z"])
+
+
+def cut(text: str | None, ranges: list[list[int]] | None, gone: list[int] | None) -> str | None:
+    """``text`` without ranges of its bytes and without lines; null if no line is left."""
+    if text is None:
+        return None
+    merged: list[list[int]] = []
+    for a, z in sorted(ranges or []):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], z)
+        else:
+            merged.append([a, z])
+    white, out, at, k, lines = b" \t\x0b\f\r", [], 0, 0, set(gone or [])
+    for n, line in enumerate(text.encode().split(b"\n")):
+        end, here, rest, touched = at + len(line), at, b"", False
+        while k < len(merged) and merged[k][0] < end:
+            a, z = max(merged[k][0], here), min(merged[k][1], end)
+            rest += line[here - at : a - at].lstrip(white) if touched else line[here - at : a - at]
+            here, touched = z, True
+            if merged[k][1] > end:
+                break
+            k += 1
+        if n not in lines:
+            if touched:
+                tail = line[here - at :].lstrip(white)
+                rest = rest + tail if tail else rest.rstrip(white)
+                if rest:
+                    out.append(rest)
+            else:
+                out.append(line)
+        at = end + 1
+    return b"\n".join(out).decode() if out else None
+
+
+def repeated_ranges(parts: DataFrame) -> DataFrame:
+    """``i``, ``t`` and the ranges of bytes ``a`` to ``z`` of repeated runs, of documents ``i``, ``t`` with text ``x``."""
+    i = StructField("i", parts.schema["i"].dataType)
+    t, h = StructField("t", LongType()), StructField("h", LongType())
+    number = lambda name: StructField(name, IntegerType())
+    hashed = parts.mapInArrow(_hashes, StructType([h, i, t]))
+    often = hashed.withColumn("n", F.count("*").over(W.partitionBy("h"))).filter("n > 1")
+    wanted = often.groupBy("i", "t").agg(F.collect_set("h").alias("hs")).select(F.col("i").alias("wi"), F.col("t").alias("wt"), "hs")
+    both = parts.join(wanted, F.col("i").eqNullSafe(F.col("wi")) & (F.col("t") == F.col("wt"))).select("i", "t", "x", "hs")
+    windows = both.mapInArrow(_windows, StructType([h, i, t, number("p"), number("at"), StructField("x", BinaryType())]))
+    placed = windows.repartition("h").sortWithinPartitions("h", F.col("i").asc_nulls_last(), "t", "p")
+    return placed.mapInArrow(_repeated, StructType([i, t, number("a"), number("z")]))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without repeated passages and without the repeated units of ``linededup``, in the columns of ``docs``."""
+    i, t, gone, cuts, left = free(docs, "i", "t", "gone", "cuts", "left")
+    keyed = docs.withColumns({i: quoted(id_col), t: F.xxhash64(quoted(text_col))})
+    parts = keyed.select(quoted(i).alias("i"), quoted(t).alias("t"), quoted(text_col).alias("x"))
+    # Longer units are passages.
+    lines = linededup.repeated_lines(parts, most_words=RUN - 1).select("i", "t", F.col("s").alias("l"), F.lit(None).cast("array<array<int>>").alias("c"))
+    runs = repeated_ranges(parts).groupBy("i", "t").agg(F.collect_set(F.array("a", "z")).alias("c")).select("i", "t", F.lit(None).cast("array<int>").alias("l"), "c")
+    right = lines.unionByName(runs).groupBy("i", "t").agg(F.first("l", True).alias(gone), F.first("c", True).alias(cuts))
+    right = right.select(F.col("i").alias("ri"), F.col("t").alias("rt"), quoted(gone), quoted(cuts))
+    both = keyed.join(right, quoted(i).eqNullSafe(F.col("ri")) & (quoted(t) == F.col("rt")), "left")
+    hit = quoted(gone).isNotNull() | quoted(cuts).isNotNull()
+    done = F.udf(cut, "string", useArrow=True)(F.when(hit, quoted(text_col)), quoted(cuts), quoted(gone))
+    rest = both.withColumn(left, done).filter(~hit | quoted(left).isNotNull())
+    return with_text(rest, F.when(hit, quoted(left)).otherwise(quoted(text_col)), text_col).select(*[quoted(c) for c in docs.columns])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import ann, bpe, htmlcut, jaccard, licenses, linededup, packing, quality, toxicity, warc
+from quillon.llm import ann, bpe, htmlcut, jaccard, licenses, linededup, packing, passages, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": op2_bpe,
         "op3_html_extraction": op3_html_extraction,
         "op4_line_dedup": op4_line_dedup,
+        "op4_passage_dedup": op4_passage_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_warc_bundles": op6_warc_bundles,
         "op7_quality_rules": op7_quality_rules,

@@ -9,7 +9,7 @@ import pytest
 import zstandard
 from helpers import DOCS, clashing, docs, plain, same_as_sql
 
-from quillon.llm import ann, graph, jaccard, linededup, packing, warc
+from quillon.llm import ann, graph, jaccard, linededup, packing, passages, warc
 
 HARD = [None, "", "\n\n", "x" * 100_000, (7, "tie."), (7, "tie."), (None, "no id."), (None, "no id."), (8, None), "!!! ???"]
 WORDS = [a + b for a in ("ba", "ce", "di", "fo", "gu", "ha", "je", "ki") for b in ("nd", "rt", "ls", "mp", "ck", "st", "tt")]
@@ -61,6 +61,51 @@ def test_line_dedup_edges(spark):
     assert linededup.dedup(df.limit(0)).count() == 0
 
 
+# Passages
+
+
+def slow_passages(texts):
+    """Which words of each text go, by all runs of 51 words."""
+    seen, out = {}, []
+    for d, text in enumerate(texts):
+        found = [m.span() for m in re.finditer(r"\S+", text)]
+        gone = set()
+        for p in range(len(found) - 50):
+            e, q = seen.setdefault(text[found[p][0] : found[p + 50][1]], (d, p))
+            if e != d or p >= q + 51:
+                gone.update(range(p, p + 51))
+        out.append([text[a:b] for k, (a, b) in enumerate(found) if k not in gone])
+    return out
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(11)
+    shared = ["\n".join(prose(rng, w) for _ in range(n)) for n, w in [(4, 15), (5, 20), (3, 40), (10, 10), (1, 50), (1, 51), (1, 300), (51, 1)] * 3]
+    # No chunks of lines: passages begin and end within lines.
+    texts = ["first " + " ".join([prose(rng, rng.randint(1, 40)), rng.choice(shared), prose(rng, 3), rng.choice(shared), prose(rng, rng.randint(1, 90))]) for _ in range(80)]
+    texts += ["water " * 400, "a b " * 90]
+    rows = {r["doc_id"]: r["text"].split() for r in passages.dedup(docs(spark, texts)).collect()}
+    wanted = slow_passages(texts)
+    assert rows == {d: w for d, w in enumerate(wanted) if w} and sum(map(len, wanted)) < 0.7 * sum(len(t.split()) for t in texts)
+
+
+def test_passages_over_lines_and_within_one(spark):
+    rng = random.Random(12)
+    lines = ["\n".join(prose(rng, w) for _ in range(n)) for n, w in ((4, 15), (5, 20), (3, 40), (10, 10))]
+    inner = prose(rng, 60)
+    texts = [f"{prose(rng, 5)}\n{x}\n{prose(rng, 6)}" for x in lines] + [f"before it {inner} after it"]
+    later = [f"top {k}\n\n{x}\nend {k}" for k, x in enumerate(lines)] + [f"so then: {inner} and on", inner]
+    rows = {r["doc_id"]: r["text"] for r in passages.dedup(docs(spark, texts + later)).collect()}
+    assert rows == dict(enumerate(texts)) | {5 + k: f"top {k}\n\nend {k}" for k in range(4)} | {9: "so then: and on"}
+
+
+def test_passages_edges(spark):
+    df = clashing(spark, [*HARD, "", "é\u3000" * 60, "wörter " * 50])
+    out = passages.dedup(df)
+    assert out.columns == df.columns and plain(out.collect()) == plain(linededup.dedup(df).collect())
+    assert passages.dedup(df.limit(0)).count() == 0
+
+
 # Packing
 
 
