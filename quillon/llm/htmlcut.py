@@ -39,12 +39,16 @@ NEXT, SIBLING = 0.6, 0.6
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset("head script style noscript template title svg math iframe object select textarea button".split())
+#: What an open head may hold; other tags, and text, end it.
+HEAD = frozenset("html head title style script noscript template base basefont bgsound link meta".split())
+#: What an open head may hold; other tags, and text, end it.
+HEAD = frozenset("html head title style script noscript template base basefont bgsound link meta".split())
 CONTENT = frozenset("article main".split())
 BOILERPLATE = frozenset("nav footer aside header form menu".split())
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sidebar|menu|nav\w*|breadcrumbs?|footer|cookies?|share|social|related|promo|sponsor\w*|popup|comments?)(?:$|[\s_-])")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PIECES = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(?!(?:svg|iframe|template)\b[^>]*/>)(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|([^<]+|<)",
     re.I | re.S,
 )
 _SENTENCE = re.compile(r"[.!?…][\"'»”)]?(?:\s|$)")
@@ -52,6 +56,34 @@ FEATURES = 9
 DEFAULT = (-1.6, 0.7, -3.0, 0.6, 0.6, -0.5, 0.2, -0.6, 0.0, 0.0)
 
 
+def closed(page: str, name: str) -> set[int]:
+    """Where the elements of a name begin that have an end tag; only objects can hold others."""
+    begun: list[int] = []
+    out = set()
+    for m in re.finditer(rf"<(/?){name}\b", page, re.I):
+        if not m[1]:
+            if name != "object":
+                begun.clear()
+            begun.append(m.start())
+        elif begun:
+            out.add(begun.pop())
+    return out
+
+
+def closed(page: str, name: str) -> set[int]:
+    """Where the elements of a name begin that have an end tag; only objects can hold others."""
+    begun: list[int] = []
+    out = set()
+    for m in re.finditer(rf"<(/?){name}\b", page, re.I):
+        if not m[1]:
+            if name != "object":
+                begun.clear()
+            begun.append(m.start())
+        elif begun:
+            out.add(begun.pop())
+    return out
+
+
 class Block:
     """A run of text between block-level tags."""
 
@@ -71,6 +103,10 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     now: Block | None = None
     number, links, tone, hidden = 0, 0, 0, 0
+    ended: dict[str, set[int]] = {}
+    loose: set[int] = set()  # hidden elements without an end tag: the next block ends them
+    ended: dict[str, set[int]] = {}
+    loose: set[int] = set()  # hidden elements without an end tag: the next block ends them
 
     def pop(name: str) -> None:
         nonlocal tone, hidden
@@ -84,6 +120,10 @@ def blocks(page: str) -> list[Block]:
     for m in _PIECES.finditer(page):
         text = m[5]
         if text is not None:
+            if hidden and stack[-1][0] == "head" and not text.isspace():
+                pop("head")
+            if hidden and stack[-1][0] == "head" and not text.isspace():
+                pop("head")
             if hidden:
                 continue
             if now is None:
@@ -100,6 +140,14 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             continue
         name, closing = name.lower(), m[2] == "/"
+        if name in ("svg", "iframe", "template") and m[4].endswith("/"):
+            continue
+        if hidden and not closing and name not in HEAD and stack[-1][0] == "head":
+            pop("head")
+        if name in ("svg", "iframe", "template") and m[4].endswith("/"):
+            continue
+        if hidden and not closing and name not in HEAD and stack[-1][0] == "head":
+            pop("head")
         if name in INLINE:
             if name == "a":
                 links = 0 if closing else 1
@@ -115,6 +163,28 @@ def blocks(page: str) -> list[Block]:
             if any(x[0] == name for x in stack):
                 pop(name)
             continue
+        if loose and name not in ("option", "optgroup"):
+            for x in stack:
+                if x[1] in loose:
+                    while x in stack:
+                        pop(stack[-1][0])
+                    break
+            loose.clear()
+        if hidden and stack[-1][0] in ("button", "select", "object"):
+            outer = next((x[0] for x in reversed(stack) if x[0] not in ("button", "select", "object")), "")
+            if outer == name and outer in ("p", "li", "dt", "dd"):
+                pop(outer)
+        if loose and name not in ("option", "optgroup"):
+            for x in stack:
+                if x[1] in loose:
+                    while x in stack:
+                        pop(stack[-1][0])
+                    break
+            loose.clear()
+        if hidden and stack[-1][0] in ("button", "select", "object"):
+            outer = next((x[0] for x in reversed(stack) if x[0] not in ("button", "select", "object")), "")
+            if outer == name and outer in ("p", "li", "dt", "dd"):
+                pop(outer)
         if stack and stack[-1][0] in ("p", "li", "dt", "dd", "option") and (name == stack[-1][0] or stack[-1][0] == "p"):
             pop(stack[-1][0])  # these end where the next one begins
         number += 1
@@ -131,6 +201,16 @@ def blocks(page: str) -> list[Block]:
         if not m[4].rstrip().endswith("/"):
             stack.append((name, number, tone))
             hidden += name in NO_TEXT
+            if name in ("button", "select", "object"):
+                if name not in ended:
+                    ended[name] = closed(page, name)
+                if m.start() not in ended[name]:
+                    loose.add(number)
+            if name in ("button", "select", "object"):
+                if name not in ended:
+                    ended[name] = closed(page, name)
+                if m.start() not in ended[name]:
+                    loose.add(number)
         else:
             tone = stack[-1][2] if stack else 0
     kept = []

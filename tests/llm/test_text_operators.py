@@ -161,6 +161,48 @@ def test_extract(spark):
     assert htmlcut.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<head><title>x</title><body><p>Text</p>",
+        "<html><head><meta charset=utf-8><title>x</title><p>Text",
+        "<head><title>x</title>Text",
+        "<head><title>x</title><b>Text</b>",
+        "<body><button>Go<p>Text</p></body>",
+        "<body><select><option>A<option>B<div>Text</div></body>",
+        "<body><object data=x><param name=y><p>Text</p></body>",
+        "<ul><li><button>Go<li>Text</ul>",
+        "<p>Te<svg class=icon />xt</p>",
+        "<p>Te<iframe src='a'/>xt</p>",
+        "<div><button>Go<p>Text</p><button>Off</button></div>",
+        "<body><button><div>Go</div></button><object><object>a</object>b</object><svg><text>c</text></svg><p>Text</p>",
+    ],
+)
+def test_hidden_elements_end(page):
+    assert [b.text for b in htmlcut.blocks(page)] == ["Text"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<head><title>x</title><body><p>Text</p>",
+        "<html><head><meta charset=utf-8><title>x</title><p>Text",
+        "<head><title>x</title>Text",
+        "<head><title>x</title><b>Text</b>",
+        "<body><button>Go<p>Text</p></body>",
+        "<body><select><option>A<option>B<div>Text</div></body>",
+        "<body><object data=x><param name=y><p>Text</p></body>",
+        "<ul><li><button>Go<li>Text</ul>",
+        "<p>Te<svg class=icon />xt</p>",
+        "<p>Te<iframe src='a'/>xt</p>",
+        "<div><button>Go<p>Text</p><button>Off</button></div>",
+        "<body><button><div>Go</div></button><object><object>a</object>b</object><svg><text>c</text></svg><p>Text</p>",
+    ],
+)
+def test_hidden_elements_end(page):
+    assert [b.text for b in htmlcut.blocks(page)] == ["Text"]
+
+
 def test_classifier_holds_without_tags():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
