@@ -6,7 +6,7 @@ labelled documents (a bounded sample, ``labelled``): words with the log odds of
 threshold of a document's sum is chosen by two-fold cross-validation on the sample. The third pass restores and scores
 every document.
 
-A word that may be disguised (digits or symbols among letters, a letter three times in a row, doubled letters, letters
+A word that may be disguised (digits, symbols, hyphens or apostrophes among letters, a letter three times in a row, doubled letters, letters
 that stand alone one after the other) becomes a lattice: a character can stand for itself, for the letters it looks like,
 or for nothing if it is a symbol or a gap; a run of one letter for one or two of it. The path that the language model and
 the cost of each disguise make the most likely is the restored text. Other words have one path and are taken as they are.
@@ -48,7 +48,6 @@ LOOKS = {
 AS_LETTER, AS_NOTHING, LOOK_DROPPED, AS_GAP, DIGIT_DROPPED, DIGIT_GAP, ONE_OF_RUN, TWO_OF_RUN = -0.5, -0.7, -1.5, -2.0, -8.0, -6.0, -1.0, -0.3
 LETTERS = re.compile(r"[^\W\d_]+")
 _EDGE = ".,;:?\"'()[]{}«»“”‘’…¿-_*&#%^~=/\\<>`"
-_PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 _LOOK_SYMBOL = re.compile(r"[@$!|+(<€£¢¡]")
@@ -196,7 +195,7 @@ def readings(token: str, decoder: Decoder) -> tuple[str, ...]:
     """The words of a token as it stands, and those of its restored form where that is another."""
     core = token.strip(_EDGE)
     plain = core.rstrip("!+$|")
-    if _PLAIN.fullmatch(plain) and not _DOUBLE.search(plain):
+    if LETTERS.fullmatch(plain) and not _DOUBLE.search(plain):
         words = LETTERS.findall(plain)
         if plain == core:
             return tuple(words)

@@ -292,6 +292,17 @@ def test_toxicity(spark):
     assert kept.columns == df.columns and kept.count() + len(rows) == df.count()
 
 
+def found_in(spark, phrases):
+    df, labels = labelled(spark, [(1000 + k, x) for k, x in enumerate(phrases)])
+    return {r["doc_id"] - 1000: set(r["words"]) for r in toxicity.scan(df, labels).filter("doc_id >= 1000").collect()}
+
+
+def test_toxicity_of_split_words(spark):
+    words = {"i-d-i-o-t": "idiot", "id-iot": "idiot", "pathe-tic": "pathetic", "id'iot": "idiot", "sc’um": "scum", "s-c-u-m": "scum", "well-water": None, "tree's": None}
+    got = found_in(spark, [f"the tree {x} and the river" for x in words])
+    assert {k: w for k, w in enumerate(words.values()) if w} == {k: next(iter(w)) for k, w in got.items()}
+
+
 def test_toxicity_edges(spark):
     df, labels = labelled(spark, n=40)
     assert toxicity.scan(df, labels.limit(0)).count() == 0
