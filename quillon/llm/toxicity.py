@@ -173,21 +173,36 @@ class Decoder:
         return "".join(reversed(parts)).strip()
 
 
+def _core(token: str) -> str:
+    """A token without the punctuation around it."""
+    core = token.strip(_EDGE)
+    while len(core) > 1 and core[-1] in "!+$|":
+        core = core[:-1].rstrip(_EDGE) or core[-1]
+    return core
+
+
 def spans(text: str) -> tuple[set[str], list[str]]:
-    """The different tokens of a text in lower case, and its runs of three or more characters that stand alone."""
+    """The different tokens of a text in lower case, and its runs of three or more characters that stand alone.
+
+    Punctuation before a character begins a run, punctuation after it ends one.
+    """
     tokens = text.lower().split()
     alone, run = [], []
     if any(len(t) == 1 for t in tokens):
-        for t in tokens:
-            if len(t) == 1 and _ALONE.match(t):
-                run.append(t)
-            else:
+        for t in [*tokens, ""]:
+            c = t if len(t) < 2 else _core(t)
+            last = len(c) != 1 or not _ALONE.match(c)
+            if run and (last or t[0] != c):
+                if len(run) > 2:
+                    alone.append(" ".join(run))
+                run = []
+            if last:
+                continue
+            run.append(c)
+            if t[-1] != c:
                 if len(run) > 2:
                     alone.append(" ".join(run))
-                if run:
-                    run = []
-        if len(run) > 2:
-            alone.append(" ".join(run))
+                run = []
     return set(tokens), alone
 
 

@@ -303,6 +303,13 @@ def test_toxicity_of_split_words(spark):
     assert {k: w for k, w in enumerate(words.values()) if w} == {k: next(iter(w)) for k, w in got.items()}
 
 
+def test_toxicity_of_spaced_words_beside_punctuation(spark):
+    words = {"i d i o t.": "idiot", "i d i o t, and": "idiot", "s c u m!": "scum", "(s c u m)": "scum", '"s c u m" he': "scum", "“i d i o t”": "idiot", "a b c. d e f, g": None}
+    got = found_in(spark, [f"the tree is {x} the river" for x in words])
+    assert got == {k: {w} for k, w in enumerate(words.values()) if w}
+    assert toxicity.spans('x "a b c. d e f g! h i') == ({"x", '"a', "b", "c.", "d", "e", "f", "g!", "h", "i"}, ["a b c", "d e f g"])
+
+
 def test_toxicity_edges(spark):
     df, labels = labelled(spark, n=40)
     assert toxicity.scan(df, labels.limit(0)).count() == 0
