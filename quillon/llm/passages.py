@@ -63,10 +63,10 @@ def seeds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         todo, at = todo[more], at[more] + 8
     rows = np.searchsorted(offsets, starts, side="right") - 1
     # Polynomials of 2, 4, 8, 16 words, and of 16 and 8.
-    power, sums = _STEP, {1: hashes}
+    power, sums = int(_STEP), {1: hashes}
     for k in (1, 2, 4, 8):
-        sums[2 * k] = sums[k][:-k] * power + sums[k][k:]
-        eight, power = power, power * power
+        sums[2 * k] = sums[k][:-k] * np.uint64(power) + sums[k][k:]
+        eight, power = np.uint64(power), power * power % 2**64
     grams = mix(sums[16][: len(starts) - SEED + 1] * eight + sums[8][16:])
     # The lowest, and the first of equal ones, over 1, 2, 4 ... places.
     low, place, width, wanted = grams, np.arange(len(grams)), 1, RUN - SEED + 1
@@ -98,7 +98,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, part in slices(b.column(2)):
             data, offsets = buffers(part)
             h, row, _, a, z, starts, ends, words = seeds(data, offsets)
-            often = np.isin(h, b.column(3).slice(first, len(part)).flatten().to_numpy(zero_copy_only=False))
+            often = np.isin(h, b.column(b.num_columns - 1).slice(first, len(part)).flatten().to_numpy(zero_copy_only=False))
             h, row, a, z = h[often], row[often], a[often], z[often]
             rows, raw = pa.array(row + first), data.tobytes()
             left, right = starts[a] if len(a) else a, ends[z + RUN - 1] if len(a) else a
@@ -171,15 +171,23 @@ def cut(text: str | None, ranges: list[list[int]] | None, gone: list[int] | None
     return b"\n".join(out).decode() if out else None
 
 
-def repeated_ranges(parts: DataFrame) -> DataFrame:
-    """``i``, ``t`` and the ranges of bytes ``a`` to ``z`` of repeated runs, of documents ``i``, ``t`` with text ``x``."""
+def repeated_ranges(docs: DataFrame) -> DataFrame:
+    """``i``, ``t`` and the ranges of bytes ``a`` to ``z`` of repeated runs, of documents whose first columns are id, hash and text.
+
+    Further columns are carried along, so that the shuffle of the documents is the one that ``dedup`` needs too.
+    """
+    i_col, t_col, text_col = map(quoted, docs.columns[:3])
+    parts = docs.select(i_col.alias("i"), t_col.alias("t"), text_col.alias("x"))
     i = StructField("i", parts.schema["i"].dataType)
     t, h = StructField("t", LongType()), StructField("h", LongType())
     number = lambda name: StructField(name, IntegerType())
     hashed = parts.mapInArrow(_hashes, StructType([h, i, t]))
     often = hashed.withColumn("n", F.count("*").over(W.partitionBy("h"))).filter("n > 1")
     wanted = often.groupBy("i", "t").agg(F.collect_set("h").alias("hs")).select(F.col("i").alias("wi"), F.col("t").alias("wt"), "hs")
-    both = parts.join(wanted, F.col("i").eqNullSafe(F.col("wi")) & (F.col("t") == F.col("wt"))).select("i", "t", "x", "hs")
+    wi, wt, hs = free(docs, "wi", "wt", "hs")
+    wanted = wanted.toDF(wi, wt, hs)
+    both = docs.join(wanted, i_col.eqNullSafe(quoted(wi)) & (t_col == quoted(wt))).select(*map(quoted, docs.columns), quoted(hs))
+    both = both.toDF("i", "t", "x", *[f"c{k}" for k in range(len(docs.columns) - 3)], "hs")
     windows = both.mapInArrow(_windows, StructType([h, i, t, number("p"), number("at"), StructField("x", BinaryType())]))
     placed = windows.repartition("h").sortWithinPartitions("h", F.col("i").asc_nulls_last(), "t", "p")
     return placed.mapInArrow(_repeated, StructType([i, t, number("a"), number("z")]))
@@ -192,10 +200,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     parts = keyed.select(quoted(i).alias("i"), quoted(t).alias("t"), quoted(text_col).alias("x"))
     # Longer units are passages.
     lines = linededup.repeated_lines(parts, most_words=RUN - 1).select("i", "t", F.col("s").alias("l"), F.lit(None).cast("array<array<int>>").alias("c"))
-    runs = repeated_ranges(parts).groupBy("i", "t").agg(F.collect_set(F.array("a", "z")).alias("c")).select("i", "t", F.lit(None).cast("array<int>").alias("l"), "c")
+    counts = ["n_chars"] if dict(docs.dtypes).get("n_chars") in ("bigint", "int") else []  # made anew by with_text
+    carried = keyed.select(quoted(i), quoted(t), quoted(text_col), *[quoted(c) for c in docs.columns if c != text_col and c not in counts])
+    runs = repeated_ranges(carried).groupBy("i", "t").agg(F.collect_set(F.array("a", "z")).alias("c")).select("i", "t", F.lit(None).cast("array<int>").alias("l"), "c")
     right = lines.unionByName(runs).groupBy("i", "t").agg(F.first("l", True).alias(gone), F.first("c", True).alias(cuts))
-    right = right.select(F.col("i").alias("ri"), F.col("t").alias("rt"), quoted(gone), quoted(cuts))
-    both = keyed.join(right, quoted(i).eqNullSafe(F.col("ri")) & (quoted(t) == F.col("rt")), "left")
+    ri, rt = free([*docs.columns, i, t, gone, cuts, left], "ri", "rt")
+    right = right.select(F.col("i").alias(ri), F.col("t").alias(rt), quoted(gone), quoted(cuts))
+    both = carried.join(right, quoted(i).eqNullSafe(quoted(ri)) & (quoted(t) == quoted(rt)), "left")
+    both = both.withColumns({c: F.lit(None).cast(docs.schema[c].dataType) for c in counts})
     hit = quoted(gone).isNotNull() | quoted(cuts).isNotNull()
     done = F.udf(cut, "string", useArrow=True)(F.when(hit, quoted(text_col)), quoted(cuts), quoted(gone))
     rest = both.withColumn(left, done).filter(~hit | quoted(left).isNotNull())
