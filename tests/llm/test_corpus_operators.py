@@ -262,19 +262,33 @@ def copies(rng):
     return [*enumerate(rows)]
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK_GRAMS, 100])
-def test_join_equals_brute_force(spark, block):
-    rng = random.Random(block)
+def slow_classes(rows):
+    """doc_id, class_id, links of rows with different ids."""
+    root, links = {i: i for i, _ in rows if i is not None}, dict.fromkeys((i for i, _ in rows if i is not None), 0)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in slow_pairs(rows):
+        links[a] += 1
+        links[b] += 1
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [(i, find(i), links[i]) for i in root]
+
+
+@pytest.mark.parametrize("options", [{}, {"block_grams": 100}, {"key_bits": 5}, {"hubs": True}])
+def test_join_equals_brute_force(spark, options, monkeypatch):
+    if options.pop("hubs", False):  # all ties by way of hubs, all n-grams hot
+        monkeypatch.setattr(jaccard, "HUB", 0)
+        monkeypatch.setattr(jaccard, "LEAST_HOT", 2)
+    rng = random.Random(len(options))
     rows = copies(rng)
-    got = {}
-    for r in jaccard.join(docs(spark, rows).repartition(3), block_grams=block).collect():
-        first, second = r["doc_ids"][: r["n_first"]], r["doc_ids"][r["n_first"] :]
-        pairs = [(a, b) for a in first for b in second] if second else [(a, b) for k, b in enumerate(first) for a in first[:k]]
-        for a, b in pairs:
-            assert (min(a, b), max(a, b)) not in got
-            got[min(a, b), max(a, b)] = r["jaccard"]
-    want = slow_pairs(rows)
-    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want) and len(want) > 20
+    got = jaccard.join(docs(spark, rows).repartition(3), **options)
+    want = slow_classes(rows)
+    assert got.columns == ["doc_id", "class_id", "links"] and plain(got.collect()) == plain(want) and sum(x[2] for x in want) > 40
 
 
 def test_join_equals_sql(spark):
@@ -284,8 +298,8 @@ def test_join_equals_sql(spark):
 
 def test_join_edges(spark):
     df = clashing(spark, [*HARD, "long " + prose(random.Random(1), 20_000), "short. word", "Short word"])
-    rows = plain(jaccard.join(df).select("doc_ids", "n_first", "jaccard").collect())
-    assert rows == plain([((7, 7), 2, 1.0), ((11, 12), 2, 1.0)])
+    rows = plain(jaccard.join(df).collect())
+    assert rows == plain([(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (7, 7, 1), (7, 7, 1), (8, 8, 0), (9, 9, 0), (10, 10, 0), (11, 11, 1), (12, 11, 1)])
     assert jaccard.join(df.limit(0)).count() == 0
     kept = jaccard.keep_one(df)
     assert kept.columns == df.columns
@@ -294,17 +308,7 @@ def test_join_edges(spark):
 
 
 def groups_kept(rows):
-    root = {i: i for i, _ in rows}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in slow_pairs(rows):
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return {i for i, _ in rows if find(i) == i}
+    return {i for i, root, _ in slow_classes(rows) if i == root}
 
 
 def test_one_of_each_group_stays(spark):
