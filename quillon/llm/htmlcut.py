@@ -11,7 +11,7 @@ so that it also holds for pages without them; where a page has them, they add to
 
 Each page is worked on by itself: no shuffle but the one of the sample. Defined results: a null page has null text, an empty one
 or one without text has empty text; broken markup (tags not closed, closed twice, cut off) is read as far as it makes
-sense; repeated rows have equal results; null ids are passed on, but such pages are not in the sample; an empty table gives no
+sense, in one pass, so that its time grows with its length; white space within pre is kept; repeated rows have equal results; null ids are passed on, but such pages are not in the sample; an empty table gives no
 rows; without a sample of both kinds the weights ``DEFAULT`` hold. Further columns don't matter.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from math import exp, log, log1p, sqrt
 
@@ -41,16 +41,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NO_TEXT = frozenset("head script style noscript template title svg math iframe object select textarea button".split())
 #: What an open head may hold; other tags, and text, end it.
 HEAD = frozenset("html head title style script noscript template base basefont bgsound link meta".split())
-#: What an open head may hold; other tags, and text, end it.
-HEAD = frozenset("html head title style script noscript template base basefont bgsound link meta".split())
 CONTENT = frozenset("article main".split())
 BOILERPLATE = frozenset("nav footer aside header form menu".split())
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sidebar|menu|nav\w*|breadcrumbs?|footer|cookies?|share|social|related|promo|sponsor\w*|popup|comments?)(?:$|[\s_-])")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_PIECES = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?!(?:svg|iframe|template)\b[^>]*/>)(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|([^<]+|<)",
-    re.I | re.S,
-)
+_TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+#: To the end of a tag; no way back, so a tag without one fails at once.
+_REST = re.compile(r"((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>")
+_RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in "script style noscript template svg iframe textarea title".split()}
 _SENTENCE = re.compile(r"[.!?…][\"'»”)]?(?:\s|$)")
 FEATURES = 9
 DEFAULT = (-1.6, 0.7, -3.0, 0.6, 0.6, -0.5, 0.2, -0.6, 0.0, 0.0)
@@ -70,41 +68,70 @@ def closed(page: str, name: str) -> set[int]:
     return out
 
 
-def closed(page: str, name: str) -> set[int]:
-    """Where the elements of a name begin that have an end tag; only objects can hold others."""
-    begun: list[int] = []
-    out = set()
-    for m in re.finditer(rf"<(/?){name}\b", page, re.I):
-        if not m[1]:
-            if name != "object":
-                begun.clear()
-            begun.append(m.start())
-        elif begun:
-            out.add(begun.pop())
-    return out
+def pieces(page: str) -> Iterator[tuple[str | None, int, str, bool, str]]:
+    """(text, place, name, closing, attributes) of the texts and tags of a page, in one pass; comments and raw elements are left out.
+
+    A tag without an end is text. From the first quote that isn't closed on, quotes in tags mean nothing.
+    """
+    at, size, last, loose = 0, len(page), page.rfind(">"), False
+    while at < size:
+        lt = page.find("<", at)
+        if lt != at:
+            yield page[at : lt if lt >= 0 else size], at, "", False, ""
+            if lt < 0:
+                return
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        if lt > last:
+            yield page[lt:], lt, "", False, ""
+            return
+        m = _TAG.match(page, lt)
+        if m is None:
+            if page[lt + 1] in "!?":
+                at = page.find(">", lt) + 1
+            else:
+                yield "<", lt, "", False, ""
+                at = lt + 1
+            continue
+        rest = None if loose else _REST.match(page, m.end())
+        if rest is None:
+            loose = True
+            at = page.find(">", m.end()) + 1
+            inner = page[m.end() : at - 1]
+        else:
+            at, inner = rest.end(), rest[1]
+        name, closing = m[2].lower(), m[1] == "/"
+        if not closing and name in _RAW and not (inner.endswith("/") and name in ("svg", "iframe", "template")):
+            end = _RAW[name].search(page, at)
+            at = end.end() if end else size
+            continue
+        yield None, lt, name, closing, inner
 
 
 class Block:
-    """A run of text between block-level tags."""
+    """A run of text between block-level tags. node: the element that it is in; above: the one around that."""
 
-    __slots__ = ("depth", "linked", "parent", "parts", "path", "tag", "text", "tone")
+    __slots__ = ("above", "depth", "linked", "node", "parts", "pre", "tag", "text", "tone")
 
-    def __init__(self, stack: list[tuple[str, int, int]], tone: int) -> None:
-        self.parts, self.linked, self.tone = [], 0, tone
-        self.tag, self.parent = (stack[-1][0], stack[-1][1]) if stack else ("", 0)
-        self.path = tuple(x[1] for x in stack)
+    def __init__(self, stack: list[tuple[str, int, int]], tone: int, pre: bool) -> None:
+        self.parts, self.linked, self.tone, self.pre = [], 0, tone, pre
+        self.tag, self.node = (stack[-1][0], stack[-1][1]) if stack else ("", 0)
+        self.above = stack[-2][1] if len(stack) > 1 else 0
         self.depth = len(stack)
         self.text = ""
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page that have text."""
+def blocks(page: str, tree: list[tuple[int, int]] | None = None) -> list[Block]:
+    """The blocks of a page that have text. tree: gets the parent and the depth of each element."""
     stack: list[tuple[str, int, int]] = []  # name, number, tone: 1 in content, -1 in boilerplate
+    tree = [] if tree is None else tree
+    tree.append((0, 0))
     out: list[Block] = []
     now: Block | None = None
-    number, links, tone, hidden = 0, 0, 0, 0
-    ended: dict[str, set[int]] = {}
-    loose: set[int] = set()  # hidden elements without an end tag: the next block ends them
+    links, tone, hidden = 0, 0, 0
+    opened: Counter[str] = Counter()
     ended: dict[str, set[int]] = {}
     loose: set[int] = set()  # hidden elements without an end tag: the next block ends them
 
@@ -112,16 +139,14 @@ def blocks(page: str) -> list[Block]:
         nonlocal tone, hidden
         while stack:
             x = stack.pop()
+            opened[x[0]] -= 1
             hidden -= x[0] in NO_TEXT
             if x[0] == name:
                 break
         tone = stack[-1][2] if stack else 0
 
-    for m in _PIECES.finditer(page):
-        text = m[5]
+    for text, place, name, closing, inner in pieces(page):
         if text is not None:
-            if hidden and stack[-1][0] == "head" and not text.isspace():
-                pop("head")
             if hidden and stack[-1][0] == "head" and not text.isspace():
                 pop("head")
             if hidden:
@@ -129,22 +154,14 @@ def blocks(page: str) -> list[Block]:
             if now is None:
                 if text.isspace():
                     continue
-                now = Block(stack, tone)
+                now = Block(stack, tone, opened["pre"] > 0)
                 out.append(now)
             text = html.unescape(text)
             now.parts.append(text)
             if links:
                 now.linked += len(text)
             continue
-        name = m[3]
-        if name is None:
-            continue
-        name, closing = name.lower(), m[2] == "/"
-        if name in ("svg", "iframe", "template") and m[4].endswith("/"):
-            continue
-        if hidden and not closing and name not in HEAD and stack[-1][0] == "head":
-            pop("head")
-        if name in ("svg", "iframe", "template") and m[4].endswith("/"):
+        if name in ("svg", "iframe", "template") and inner.endswith("/"):
             continue
         if hidden and not closing and name not in HEAD and stack[-1][0] == "head":
             pop("head")
@@ -160,7 +177,7 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         if closing:
-            if any(x[0] == name for x in stack):
+            if opened[name] > 0:
                 pop(name)
             continue
         if loose and name not in ("option", "optgroup"):
@@ -174,49 +191,36 @@ def blocks(page: str) -> list[Block]:
             outer = next((x[0] for x in reversed(stack) if x[0] not in ("button", "select", "object")), "")
             if outer == name and outer in ("p", "li", "dt", "dd"):
                 pop(outer)
-        if loose and name not in ("option", "optgroup"):
-            for x in stack:
-                if x[1] in loose:
-                    while x in stack:
-                        pop(stack[-1][0])
-                    break
-            loose.clear()
-        if hidden and stack[-1][0] in ("button", "select", "object"):
-            outer = next((x[0] for x in reversed(stack) if x[0] not in ("button", "select", "object")), "")
-            if outer == name and outer in ("p", "li", "dt", "dd"):
-                pop(outer)
         if stack and stack[-1][0] in ("p", "li", "dt", "dd", "option") and (name == stack[-1][0] or stack[-1][0] == "p"):
             pop(stack[-1][0])  # these end where the next one begins
-        number += 1
         here = tone
         if name in CONTENT:
             here = 1
         elif name in BOILERPLATE:
             here = -1
-        elif m[4]:
-            for a in _ATTRIBUTE.finditer(m[4]):
+        elif inner:
+            for a in _ATTRIBUTE.finditer(inner):
                 if _NAMES.search((a[1] or a[2] or a[3] or "").lower()):
                     here = -1
-        tone = here
-        if not m[4].rstrip().endswith("/"):
+        if not inner.rstrip().endswith("/"):
+            tone, number = here, len(tree)
+            tree.append((stack[-1][1] if stack else 0, len(stack) + 1))
             stack.append((name, number, tone))
+            opened[name] += 1
             hidden += name in NO_TEXT
             if name in ("button", "select", "object"):
                 if name not in ended:
                     ended[name] = closed(page, name)
-                if m.start() not in ended[name]:
+                if place not in ended[name]:
                     loose.add(number)
-            if name in ("button", "select", "object"):
-                if name not in ended:
-                    ended[name] = closed(page, name)
-                if m.start() not in ended[name]:
-                    loose.add(number)
-        else:
-            tone = stack[-1][2] if stack else 0
     kept = []
     for b in out:
-        lines = [" ".join(x.split()) for x in "".join(b.parts).split("\n")]
-        b.text = "\n".join(x for x in lines if x)
+        whole = "".join(b.parts)
+        if b.pre:  # code: white space is content
+            b.text = whole.strip("\r\n").rstrip() if not whole.isspace() else ""
+        else:
+            lines = [" ".join(x.split()) for x in whole.split("\n")]
+            b.text = "\n".join(x for x in lines if x)
         if b.text:
             kept.append(b)
     return kept
@@ -332,17 +336,18 @@ def min_cut(content: list[float], boilerplate: list[float], edges: list[tuple[in
                 v = to[e ^ 1]
 
 
-def apart(a: Block, b: Block) -> int:
-    """Steps between the parents of two blocks in the tree."""
-    same = 0
-    for x, y in zip(a.path, b.path):
-        if x != y:
-            break
-        same += 1
-    return len(a.path) + len(b.path) - 2 * same
+def apart(a: int, b: int, tree: list[tuple[int, int]]) -> int:
+    """Steps between two elements. Between blocks that follow each other these are no more than the tags between them."""
+    steps = 0
+    while a != b:
+        if tree[a][1] < tree[b][1]:
+            a, b = b, a
+        a = tree[a][0]
+        steps += 1
+    return steps
 
 
-def graph(found: list[Block], weights: tuple[float, ...]) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
+def graph(found: list[Block], weights: tuple[float, ...], tree: list[tuple[int, int]]) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
     """The capacities for ``min_cut``."""
     content, boilerplate, edges = [], [], []
     last: dict[int, int] = {}
@@ -353,18 +358,18 @@ def graph(found: list[Block], weights: tuple[float, ...]) -> tuple[list[float],
         content.append(weight * log(1 + exp(-score)))
         boilerplate.append(weight * log(1 + exp(score)))
         if i:
-            edges.append((i - 1, i, NEXT / (1 + apart(found[i - 1], b))))
-        above = b.path[-2] if len(b.path) > 1 else 0
-        if above in last:
-            edges.append((last[above], i, SIBLING / (1 + apart(found[last[above]], b))))
-        last[above] = i
+            edges.append((i - 1, i, NEXT / (1 + apart(found[i - 1].node, b.node, tree))))
+        if b.above in last:
+            edges.append((last[b.above], i, SIBLING / (1 + apart(found[last[b.above]].node, b.node, tree))))
+        last[b.above] = i
     return content, boilerplate, edges
 
 
 def extracted(page: str, weights: tuple[float, ...]) -> tuple[str, int, int]:
     """The text of a page's content, how many blocks it has, and how many are content."""
-    found = blocks(page)
-    sides = min_cut(*graph(found, weights)) if found else []
+    tree: list[tuple[int, int]] = []
+    found = blocks(page, tree)
+    sides = min_cut(*graph(found, weights, tree)) if found else []
     kept = [b.text for b, x in zip(found, sides) if x]
     return "\n".join(kept), len(found), len(kept)
 
@@ -372,7 +377,9 @@ def extracted(page: str, weights: tuple[float, ...]) -> tuple[str, int, int]:
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
     """``page_id``, ``text``, ``n_blocks``, ``n_content`` of each page."""
     only = pages.select(quoted(id_col).alias("page_id"), quoted(html_col).cast("string").alias("html"))
-    known = only.filter("page_id is not null and html is not null").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample)
+    # The ids first: only the pages of the sample go to the driver.
+    ids = only.filter("page_id is not null and html is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    known = only.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id")
     weights = train([r["html"] for r in known.select("html").collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
