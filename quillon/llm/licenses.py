@@ -11,7 +11,8 @@ time, so the plan has no shuffle. Tokens that no template has end every match, s
 
 Defined results: null and empty texts have no finds; repeated rows have the same finds each; null ids are passed on;
 equal finds of two templates (ties) go to the one that is first in the list of templates; an empty table gives no rows;
-further columns don't matter. A text may be of any length, all of it is scanned.
+further columns don't matter. A text may be of any length, all of it is scanned; offsets are those of the text as it is, also where its
+lower case has another length. The short licenses are there as a whole; of the long ones (Apache, GPL, MPL) the notice is that files carry.
 """
 
 from __future__ import annotations
@@ -39,15 +40,43 @@ files (the "Software"), to deal in the Software without restriction, including w
 merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
 to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
 or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
-INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+_MIT_WHOLE = _MIT + """IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
 conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
 disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
 disclaimer in the documentation and/or other materials provided with the distribution."""
 _BSD3 = _BSD + """ Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
 derived from this software without specific prior written permission."""
+_BSD_END = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
 provided that the above copyright notice and this permission notice appear in all copies."""
+_ISC_END = """ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR
+IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications,
+and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you
+must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would
+be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+original software. 3. This notice may not be removed or altered from any source distribution."""
+_BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare
+derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The
+copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must
+be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works
+are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY
+OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND
+NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER
+IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
 License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or
 agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF
@@ -69,6 +98,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     *((f"{x}-{v}.0-or-later", _GPL.format(y, v)) for x, y in (("GPL", ""), ("LGPL", "Lesser "), ("AGPL", "Affero ")) for v in (2, 3)),
     *((f"{x}-{v}.0", f"licensed under the GNU {y}General Public License, version {v}") for x, y in (("GPL", ""), ("LGPL", "Lesser "), ("AGPL", "Affero ")) for v in (2, 3)),
     *((f"{x}-{v}.0", f"GNU {y}General Public License v{v}.0") for x, y in (("GPL", ""), ("LGPL", "Lesser "), ("AGPL", "Affero ")) for v in (2, 3)),
+    ("MIT", _MIT_WHOLE), ("BSD-3-Clause", _BSD3 + _BSD_END), ("BSD-2-Clause", _BSD + _BSD_END), ("ISC", _ISC + _ISC_END), ("Zlib", _ZLIB), ("BSL-1.0", _BSL),
     ("MPL-2.0", _MPL), ("MPL-2.0", "Mozilla Public License, Version 2.0"),
     ("Unlicense", _UNLICENSE),
     *((f"CC-{x}-{v}", f"Licensed under CC {x} {v}") for x in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("4.0", "3.0")),
@@ -80,7 +110,13 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 
 
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    low = text.lower()
+    return TOKEN.findall(low) if len(low) == len(text) else [m[0].lower() for m in TOKEN.finditer(text)]
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """Where the tokens begin and end, in the text as it is: lower case can be longer."""
+    return [m.span() for m in TOKEN.finditer(text)]
 
 
 class Automaton:
@@ -230,7 +266,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                     continue
                 finds = automaton.scan(tokens(text), least, gap, coverage)
                 if finds:
-                    at = [m.span() for m in TOKEN.finditer(text.lower())]
+                    at = places(text)
                     for k, a, e, n in finds:
                         rows.append(i)
                         out.append((automaton.names[k], k, a, e - 1, at[a][0], at[e - 1][1], n, n / automaton.sizes[k]))
