@@ -23,7 +23,8 @@ BOILERPLATE = (
     "all rights reserved", "cookie", "privacy policy", "terms of use", "terms of service", "subscribe to", "click here",
     "enable javascript", "lorem ipsum", "back to top", "share this",
 )
-SENTENCE_END = r"""[.!?…]["'»”)]?(\s|$)"""
+#: Full-width ends need no space after them.
+SENTENCE_END = r"""[.!?…]["'»”)]?(\s|$)|[。！？｡]"""
 NOT_SYMBOL, NOT_UPPER = r"[^\p{L}\p{N}\s]+", r"[^\p{Lu}]+"
 #: A line may hold this share of symbols, and this many in any case (telephone numbers, addresses).
 SYMBOL_SHARE, SYMBOL_FREE = 0.12, 3
