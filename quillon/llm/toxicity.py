@@ -7,7 +7,7 @@ threshold of a document's sum is chosen by two-fold cross-validation on the samp
 every document.
 
 A word that may be disguised (digits, symbols, hyphens or apostrophes among letters, a letter three times in a row, doubled letters, letters
-that stand alone one after the other) becomes a lattice: a character can stand for itself, for the letters it looks like,
+that stand alone one after the other, pieces of words that make a word of the lexicon together) becomes a lattice: a character can stand for itself, for the letters it looks like,
 or for nothing if it is a symbol or a gap; a run of one letter for one or two of it. The path that the language model and
 the cost of each disguise make the most likely is the restored text. Other words have one path and are taken as they are.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -181,12 +181,11 @@ def _core(token: str) -> str:
     return core
 
 
-def spans(text: str) -> tuple[set[str], list[str]]:
-    """The different tokens of a text in lower case, and its runs of three or more characters that stand alone.
+def runs_alone(tokens: list[str]) -> list[str]:
+    """The runs of three or more characters that stand alone. (Two, and longer pieces, are looked up in the lexicon: see ``Pieces``.)
 
     Punctuation before a character begins a run, punctuation after it ends one.
     """
-    tokens = text.lower().split()
     alone, run = [], []
     if any(len(t) == 1 for t in tokens):
         for t in [*tokens, ""]:
@@ -203,7 +202,66 @@ def spans(text: str) -> tuple[set[str], list[str]]:
                 if len(run) > 2:
                     alone.append(" ".join(run))
                 run = []
-    return set(tokens), alone
+    return alone
+
+
+#: Characters that can stand for each other are one here: the letters that a look-alike leaves open, and look-alikes with their letters.
+_MERGED = str.maketrans({"l": "i", "g": "b", **{c: ("i" if "i" in x else "b" if "b" in x else x[0].replace("l", "i")) for c, x in LOOKS.items()}})
+_RUN = re.compile(r"(.)\1+")
+_OTHER = re.compile(r"[\W_]+")
+_BARE = re.compile(r"[\W_@$!|+(<€£¢¡]+")
+
+
+def skeletons(core: str) -> set[str]:
+    """What is left of a token where disguises make no difference: symbols that look like letters as such, and as nothing."""
+    return {_RUN.sub(r"\1", _OTHER.sub("", core.translate(_MERGED))), _RUN.sub(r"\1", _BARE.sub("", core).translate(_MERGED))}
+
+
+class Pieces:
+    """Finds tokens that follow each other and make a word of the lexicon together."""
+
+    def __init__(self, words: Iterable[str]) -> None:
+        self.whole = {x for w in words for x in skeletons(w)} - {""}
+        self.begins = {x[:k] for x in self.whole for k in range(1, len(x))} | {x for x in self.whole if any(y != x and y.startswith(x) for y in self.whole)}
+        self.known: dict[str, tuple[str, set[str], bool, bool]] = {}
+
+    def token(self, t: str) -> tuple[str, set[str], bool, bool]:
+        """Its core, the skeletons of that, whether it may go on a word, and whether the next token may go on with it."""
+        got = self.known.get(t)
+        if got is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            core = _core(t)
+            got = self.known[t] = core, skeletons(core) - {""}, t.startswith(core), t.endswith(core)
+        return got
+
+    def begin(self, t: str) -> bool:
+        core, bare, _, on = self.token(t)
+        return bool(core) and on and not bare.isdisjoint(self.begins)
+
+    def spans(self, tokens: list[str], first: set[str]) -> set[str]:
+        """The runs of two tokens or more that may be a word. first: the tokens that can begin one."""
+        out = set()
+        for i, t in enumerate(tokens):
+            if t not in first:
+                continue
+            core, now, _, on = self.token(t)
+            run = [core]
+            for j in range(i + 1, len(tokens)):
+                t = tokens[j]
+                core, bare, joins, more = self.token(t)
+                if not on or not joins:
+                    break
+                if bare:  # symbols alone can stand for nothing
+                    now = {_RUN.sub(r"\1", x + y) for x in now for y in bare}
+                run.append(core)
+                if bare and not now.isdisjoint(self.whole):
+                    out.add(" ".join(run))
+                now &= self.begins
+                on = more
+                if not now:
+                    break
+        return out
 
 
 def readings(token: str, decoder: Decoder) -> tuple[str, ...]:
@@ -227,9 +285,10 @@ def readings(token: str, decoder: Decoder) -> tuple[str, ...]:
 # The lexicon
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labelled: int = LABELLED) -> tuple[dict[str, float], float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labelled: int = LABELLED, label_id: str = "doc_id", label_col: str = "toxic") -> tuple[dict[str, float], float]:
     """The words with their weights, and the threshold, from a sample of labelled documents by hash of their id."""
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.select(quoted(label_id).alias("doc_id"), quoted(label_col).alias("toxic"))
+    known = known.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("x"), (F.xxhash64("doc_id", F.lit(1)) % 2 == 0).alias("half"))
     texts = docs.select(quoted(id_col).alias("i"), quoted(text_col).alias("t")).filter("t is not null")
     # At most ``labelled`` rows of three numbers are broadcast, whatever the size of the tables.
@@ -266,31 +325,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labelled
 # Scoring
 
 
-def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labelled: int, toxic: str, score: str, found: str) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labelled: int, toxic: str, score: str, found: str, **label_columns: str) -> DataFrame:
     spark = docs.sparkSession
-    weights, threshold = fit(docs, labels, id_col, text_col, labelled)
+    weights, threshold = fit(docs, labels, id_col, text_col, labelled, **label_columns)
     model = spark.sparkContext.broadcast((Decoder(log_odds_table(trigram_counts(docs, text_col))), weights, threshold))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, weights, threshold = model.value
         kept: dict[str, tuple[str, ...]] = {}
+        pieces = Pieces(weights)
+        first: dict[str, bool] = {}
         for b in batches:
             flags, scores, lists = [], [], []
             for text in b.column(place).to_pylist():
                 words: set[str] = set()
                 if text and weights:
-                    tokens, alone = spans(text)
+                    order = text.lower().split()
+                    tokens, begin = set(order), set()
                     for t in tokens:
                         got = kept.get(t)
                         if got is None:
                             if len(kept) > 500_000:
                                 kept.clear()
+                                first.clear()
                             got = kept[t] = tuple(w for w in readings(t, decoder) if w in weights)
+                            first[t] = pieces.begin(t)
                         if got:
                             words.update(got)
-                    for t in alone:
+                        if first[t]:
+                            begin.add(t)
+                    for t in [*runs_alone(order), *(pieces.spans(order, begin) if begin else ())]:
                         words.update(w for w in LETTERS.findall(decoder.restore(t)) if w in weights)
+                        if _LOOK_SYMBOL.search(t):
+                            words.update(w for w in LETTERS.findall(decoder.restore(t, strict=True)) if w in weights)
                 s = sum(weights[w] for w in sorted(words))
                 scores.append(round(s, 6))
                 flags.append(bool(words) and s >= threshold)
@@ -302,13 +370,13 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     return map_rows(docs, run, made)
 
 
-def scan(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> DataFrame:
-    """The toxic documents: id, ``toxic`` (true), ``score`` and the restored ``words`` that make it."""
+def scan(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, **label_columns: str) -> DataFrame:
+    """The toxic documents: id, ``toxic`` (true), ``score`` and the restored ``words`` that make it. label_columns: label_id and label_col, where they have other names."""
     only = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
-    return _scored(only, labels, "doc_id", "text", labelled, "toxic", "score", "words").filter("toxic").select("doc_id", "toxic", "score", "words")
+    return _scored(only, labels, "doc_id", "text", labelled, "toxic", "score", "words", **label_columns).filter("toxic").select("doc_id", "toxic", "score", "words")
 
 
-def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> DataFrame:
-    """``docs`` without the toxic documents."""
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, **label_columns: str) -> DataFrame:
+    """``docs`` without the toxic documents. label_columns: see ``scan``."""
     toxic, score, words = free(docs, "toxic", "score", "words")
-    return _scored(docs, labels, id_col, text_col, labelled, toxic, score, words).filter(~quoted(toxic)).select(*[quoted(c) for c in docs.columns])
+    return _scored(docs, labels, id_col, text_col, labelled, toxic, score, words, **label_columns).filter(~quoted(toxic)).select(*[quoted(c) for c in docs.columns])
