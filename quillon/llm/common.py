@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -16,11 +16,13 @@ from pyspark.sql.types import StructField, StructType
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (tests on one machine) gets a folder of our own.
+    Where it isn't set, a session whose executors are this very process (tests, one machine) gets a folder in Spark's own; on a cluster it is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="quillon-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        known = f"file://{spark.sparkContext._temp_dir}"
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 

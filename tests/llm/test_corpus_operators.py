@@ -208,31 +208,49 @@ def test_bundles_round_trip(spark, tmp_path):
 # Nearest neighbours
 
 
-def test_neighbours_recall(spark):
+def nearest_by_brute_force(x, k):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = ann.squares(u, u)
+    np.fill_diagonal(d, 9)
+    return {i: set(np.argsort(d[i], kind="stable")[:k].tolist()) for i in range(len(x))}
+
+
+@pytest.mark.parametrize("options", [{"cell_rows": 600}, {"cell_rows": 100, "sample": 700}, {"cell_rows": 1 << 20}, {"cell_rows": 20, "sample": 100}])
+def test_neighbours_recall(spark, options):
+    """One cell, several, cells that are split into parts; trees that are fitted on all vectors and on some."""
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 1, (500, 16)) + 3 * rng.normal(0, 1, 16) for _ in range(3)]).astype(np.float32)
     x[10] = x[11]
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, place int").repartition(4)
-    rows = ann.neighbours(df, k=5, cell_rows=600, leaf_rows=20, queries=100).collect()
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    d = ann.squares(u, u)
-    np.fill_diagonal(d, 9)
-    truth = {i: set(np.argsort(d[i], kind="stable")[:5].tolist()) for i in range(len(x))}
-    assert len(rows) == 5 * len(x)
-    assert sum(r["neighbour"] in truth[r["vec_id"]] for r in rows) >= 0.9 * len(rows)
+    queries = df.filter("vec_id % 3 = 1")
+    rows = ann.neighbours(df, queries, k=5, leaf_rows=20, calibration=150, **options).collect()
+    truth = nearest_by_brute_force(x, 5)
+    assert len(rows) == 5 * queries.count() and {r["vec_id"] % 3 for r in rows} == {1}
+    assert sum(r["neighbour"] in truth[r["vec_id"]] for r in rows) >= 0.93 * len(rows)
     assert [(r["place"], round(r["distance"], 3)) for r in rows if r["vec_id"] == 10 and r["neighbour"] == 11] == [(1, 0.0)]
 
 
+def test_visits_are_widened_where_they_bring_most():
+    assert ann.widened([[1, 1, 1, 9], [1, 2], []], 4) == [1, 1]
+    assert ann.widened([[1, 1, 1, 9], [1, 2], []], 6) == [9, 2] and ann.widened([[], [3]], 1) == [0, 3] and ann.widened([[]], 0) == [1]
+
+
 def test_neighbours_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, None), (4, []), (5, [1.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (None, [1.0, 0.0]), (8, [0.0, 0.0]), (9, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    got = {}
-    for r in sorted(ann.neighbours(df, k=3).collect(), key=lambda r: (r["vec_id"], r["place"])):
-        got.setdefault(r["vec_id"], []).append(r["neighbour"])
-    assert set(got) == {1, 2, 8, 9} and got[1][0] == 9 and 1 not in got[1] and 2 not in got[2] and set(got[1]) == {2, 8, 9}
-    assert ann.neighbours(df.limit(0)).count() == 0 and ann.neighbours(df.filter("vec_id = 3")).count() == 0
-    equal = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)], "vec_id bigint, embedding array<float>")
-    assert ann.neighbours(equal, k=2, leaf_rows=8).filter("distance > 1e-3").count() == 0
+    for ids, out in ((df, int), (df.withColumn("vec_id", df["vec_id"].cast("string")), str)):
+        got = {}
+        for r in sorted(ann.neighbours(ids, k=3).collect(), key=lambda r: (r["vec_id"], r["place"])):
+            got.setdefault(r["vec_id"], []).append(r["neighbour"])
+        one, two, eight, nine = map(out, (1, 2, 8, 9))
+        assert set(got) == {one, two, eight, nine} and got[one][0] == nine and one not in got[one] and two not in got[two] and set(got[one]) == {two, eight, nine}
+    assert ann.neighbours(df.limit(0)).count() == 0 and ann.neighbours(df.filter("vec_id = 3")).count() == 0 and ann.neighbours(df, df.limit(0)).count() == 0
+    # A hot vector: of its ids the least are the neighbours of each.
+    equal = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(3000)] + [(5000 + i, [1.0, i / 50]) for i in range(50)], "vec_id bigint, embedding array<float>")
+    rows = ann.neighbours(equal, equal.filter("vec_id % 100 = 0 and vec_id < 3000"), k=2, leaf_rows=8, cell_rows=20).collect()
+    assert sorted((r["vec_id"], r["neighbour"], r["distance"] < 1e-3) for r in rows) == sorted((i, n, True) for i in range(0, 3000, 100) for n in [x for x in range(3) if x != i][:2])
+    long = spark.createDataFrame([(i, [float(i + k) for k in range(5000)]) for i in range(20)], "vec_id bigint, embedding array<float>")
+    assert ann.neighbours(long, k=2).count() == 40
 
 
 # N-gram join

@@ -3,6 +3,7 @@
 import base64
 import itertools
 import random
+import time
 
 import pytest
 from helpers import CLASH, DOCS, clashing, docs, plain, same_as_sql
@@ -59,11 +60,54 @@ def test_changed_template_is_chained(automaton):
     assert automaton.names[find[0]] == "MIT" and find[1] == 0 and find[3] == len(words) - 2
 
 
+def test_whole_license_is_one_find(automaton):
+    for name, text in licenses.TEMPLATES:
+        if len(licenses.tokens(text)) > 130:
+            ((k, a, b, n),) = automaton.scan(licenses.tokens("Copyright 2020. " + text + " end"))
+            assert automaton.names[k] == name and n == len(licenses.tokens(text)) and (a, b) == (2, 2 + n)
+
+
 def test_part_of_template_is_not_enough(automaton):
     assert automaton.scan(licenses.tokens("rights reserved all")) == []
     assert automaton.scan(licenses.tokens("GNU General Public License, version")) == []
 
 
+def slow_chains(anchors, gap):
+    """The same by search through all chains: the heaviest goes first, then the heaviest of what it leaves."""
+    anchors = sorted(anchors)
+
+    def follows(a, b):
+        (d0, t0, n0), (d, t, n) = a, b
+        over = max(0, d0 + n0 - d, t0 + n0 - t)
+        return n - over if d0 < d and t0 < t and over < n and d - d0 - n0 <= gap and t - t0 - n0 <= gap else None
+
+    def paths(i):
+        yield anchors[i][2], [i]
+        for j in range(i):
+            if (more := follows(anchors[j], anchors[i])) is not None:
+                yield from ((w + more, [*p, i]) for w, p in paths(j))
+
+    heaviest = [max(w for w, _ in paths(i)) for i in range(len(anchors))]
+    return heaviest
+
+
+def test_chains_are_the_heaviest():
+    rng = random.Random(7)
+    for _ in range(200):
+        anchors = list({(rng.randrange(30), rng.randrange(30), rng.randint(1, 5)) for _ in range(rng.randint(1, 9))})
+        gap = rng.randint(0, 8)
+        got = licenses.chains(anchors, gap)
+        want = slow_chains(anchors, gap)
+        assert got[0][0] == max(want) and all(w in want for w, *_ in got)
+        assert sum(w == max(want) for w, *_ in got) >= 1 and [w for w, *_ in got] == sorted((w for w, *_ in got), reverse=True)
+
+
+def test_offsets_are_of_the_text_as_it_is(spark):
+    texts = ["İİİ Released under the MIT License", "ΣΑΣ İ. All rights reserved"]
+    rows = licenses.scan(docs(spark, texts)).collect()
+    assert [texts[r["doc_id"]][r["begin"] : r["end"]] for r in sorted(rows)] == ["Released under the MIT License", "All rights reserved"]
+
+
 def test_scan(spark):
     texts = [*HARD, "A. Released under the MIT License.", "A. Released under the MIT License.", "All rights reserved. " * 3000]
     for df in (docs(spark, texts), clashing(spark, texts)):
@@ -182,25 +226,21 @@ def test_hidden_elements_end(page):
     assert [b.text for b in htmlcut.blocks(page)] == ["Text"]
 
 
-@pytest.mark.parametrize(
-    "page",
-    [
-        "<head><title>x</title><body><p>Text</p>",
-        "<html><head><meta charset=utf-8><title>x</title><p>Text",
-        "<head><title>x</title>Text",
-        "<head><title>x</title><b>Text</b>",
-        "<body><button>Go<p>Text</p></body>",
-        "<body><select><option>A<option>B<div>Text</div></body>",
-        "<body><object data=x><param name=y><p>Text</p></body>",
-        "<ul><li><button>Go<li>Text</ul>",
-        "<p>Te<svg class=icon />xt</p>",
-        "<p>Te<iframe src='a'/>xt</p>",
-        "<div><button>Go<p>Text</p><button>Off</button></div>",
-        "<body><button><div>Go</div></button><object><object>a</object>b</object><svg><text>c</text></svg><p>Text</p>",
-    ],
-)
-def test_hidden_elements_end(page):
-    assert [b.text for b in htmlcut.blocks(page)] == ["Text"]
+@pytest.mark.parametrize("page", ["<a " * 50_000, "<a href='x" * 20_000, '<a ">"' * 20_001 + '"', "<div>" * 20_000 + "</p>" * 20_000, "<div>x" * 20_000, "<!--" * 20_000, "</script" * 20_000, "<script>" * 20_000, "<li>a<p>b" * 8_000, "&lt" * 40_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    htmlcut.blocks(page)
+    assert time.process_time() - began < 1
+
+
+def test_code_keeps_its_white_space():
+    assert [b.text for b in htmlcut.blocks("<p> a  b </p><pre>\nif x:\n    y <b>= 1</b>\n\n    z()\n</pre><p>c")] == ["a b", "if x:\n    y = 1\n\n    z()", "c"]
+
+
+def test_steps_between_elements():
+    tree = []
+    found = htmlcut.blocks("<div><p>a</p><ul><li>b<li>c</ul></div>d", tree)
+    assert [htmlcut.apart(found[0].node, b.node, tree) for b in found] == [0, 3, 3, 2]
 
 
 def test_classifier_holds_without_tags():
@@ -217,8 +257,9 @@ def test_classifier_holds_without_tags():
     weights = htmlcut.train([page(True) for _ in range(60)])
     right = total = 0
     for _ in range(40):
-        found = htmlcut.blocks(page(False))
-        for b, side in zip(found, htmlcut.min_cut(*htmlcut.graph(found, weights))):
+        tree = []
+        found = htmlcut.blocks(page(False), tree)
+        for b, side in zip(found, htmlcut.min_cut(*htmlcut.graph(found, weights, tree))):
             right += side == (b.tag == "p")
             total += 1
     assert right / total > 0.9
@@ -227,7 +268,7 @@ def test_classifier_holds_without_tags():
 # Quality rules
 
 GOOD = "This is a fine line with words. And another sentence follows here."
-LINES = [GOOD, "Home | News | About | Contact", "CLICK HERE NOW", "Click here to win.", "no end", "$$$ %%% ^^^ &&& *** ((( .", "", "  ", "very very very very very very very very.", "Ça va très bien, merci. Größe: 3."]
+LINES = [GOOD, "Home | News | About | Contact", "CLICK HERE NOW", "Click here to win.", "no end", "$$$ %%% ^^^ &&& *** ((( .", "", "  ", "very very very very very very very very.", "Ça va très bien, merci. Größe: 3.", "今天天气很好。我们去公园。", "本当ですか？", "没有句号"]
 
 
 def test_quality_equals_sql(spark):
@@ -307,7 +348,22 @@ def test_toxicity_of_spaced_words_beside_punctuation(spark):
     words = {"i d i o t.": "idiot", "i d i o t, and": "idiot", "s c u m!": "scum", "(s c u m)": "scum", '"s c u m" he': "scum", "“i d i o t”": "idiot", "a b c. d e f, g": None}
     got = found_in(spark, [f"the tree is {x} the river" for x in words])
     assert got == {k: {w} for k, w in enumerate(words.values()) if w}
-    assert toxicity.spans('x "a b c. d e f g! h i') == ({"x", '"a', "b", "c.", "d", "e", "f", "g!", "h", "i"}, ["a b c", "d e f g"])
+    assert toxicity.runs_alone('x "a b c. d e f g! h i'.split()) == ["a b c", "d e f g"]
+
+
+def test_toxicity_of_words_in_pieces(spark):
+    """Two pieces or more, of any length, with other disguises within."""
+    words = {"id iot": "idiot", "sc u m": "scum", "s cum": "scum", "sc um.": "scum", "path etic": "pathetic", "worth less": "worthless", "(worth less)": "worthless", "id 10t": "idiot", "1d iot": "idiot", "$c um": "scum", "pa the t1c": "pathetic", "id - iot": "idiot", "id ioooot": "idiot", "SC UM": "scum", "scu, m": None, "sc. um": None}
+    got = found_in(spark, [f"the tree is {x} of the river" for x in words])
+    assert got == {k: {w} for k, w in enumerate(words.values()) if w}
+    calm = ["the path et tic", "so me tree", "the worth of less", "a sc of the um"]
+    assert found_in(spark, [f"the river {x} and green" for x in calm]) == {}
+
+
+def test_columns_of_labels(spark):
+    df, labels = labelled(spark)
+    named = labels.select(F.col("doc_id").alias("the.id"), F.col("toxic").alias("bad"))
+    assert plain(toxicity.scan(df, named, label_id="the.id", label_col="bad").collect()) == plain(toxicity.scan(df, labels).collect())
 
 
 def test_toxicity_edges(spark):
