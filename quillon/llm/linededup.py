@@ -1,106 +1,303 @@
-"""Content-defined line chunks: multi-line chunks that occur before, anywhere in the corpus, are removed.
+"""Line dedup: content-defined chunks of lines, and runs of more than 50 words, that occur before, anywhere in the corpus, are removed.
 
-Each line has a hash. A rolling hash over the hashes of a line and of the one before it chooses the chunk boundaries, so
-they move along with the text when lines are put in or taken out elsewhere. A line of ``long_words`` words or more is a
-boundary before and after itself for the same reason: it is a passage, its content alone decides. Chunks of two lines
-or more, and passages, are the units that can go; a single shorter line never goes.
+1. Each line has a hash. A rolling hash over the hashes of a line and of the one before it chooses the chunk boundaries, so
+   they move along with the text when lines are put in or taken out elsewhere. Chunks of two lines or more are units that can
+   go. A chunk that begins or ends among other lines, or within one, is another chunk; for this, and for long lines, there are
+   runs: ``RUN`` words in a row, wherever they begin and end. A word is what stands between ASCII white space.
+2. Of the hashes of ``SEED`` words in a row, the lowest of each run (its seed) depends on nothing but the run, so equal runs have
+   equal seeds at the same place, wherever they lie. The hashes of units and seeds alone are counted first, no text.
+3. Only units and seeds whose hash occurs more than once send text, for a seed that of all runs that have it, and the bytes themselves are compared,
+   so equal hashes of different texts stay apart. Each run belongs to one seed, so no repeated run is missed.
+4. Whole texts that occur before (two hashes of together 128 bits) send nothing: all their units and runs are repeated. So copies don't pile up around a hash.
 
-The first shuffle carries one 64-bit hash, an id and a position for each unit, no text. Only units whose hash occurs
-more than once send their text, to be grouped by the bytes themselves: equal hashes of different texts stay apart.
-What goes is joined to the documents by id.
-
-Defined results: the first occurrence stays, in order of id (null ids last) and position; a null text stays null, an
-empty text stays empty; a document whose last line goes is dropped, since nothing is left of it; rows of one id that
-have the same text count as one document and get the same decisions, and so do rows without an id; rows of one id with
-different texts are told apart by the text; further columns pass through.
+Defined results: the first occurrence stays, in order of id (null ids last), hash of the text, and position; in one document a run
+counts as repeated only where it doesn't overlap its first occurrence. Longer repeats are the sum of their runs. In a line that loses words the others
+are joined by single spaces; a line that loses all goes; a document that loses something and has no words left is dropped. A null text stays null, an
+empty text stays empty; rows of one id that have the same text count as one document and get the same decisions, and so do rows without an
+id; rows of one id with different texts are told apart by the text; further columns pass through. Cuts bring words together, so the result can
+hold new repeats. A task holds the different runs around one seed in memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from collections.abc import Iterator
+from hashlib import md5
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from quillon.llm.common import free, once, quoted, with_text
+from quillon.llm.common import free, quoted, with_text, written
+from quillon.llm.grams import _STEP, buffers, mix, slices
 
 #: One in so many line pairs ends a chunk.
 DIVISOR = 3
-#: A line of so many words is a unit of its own.
-LONG_WORDS = 50
-#: Lines of a unit that is not a long line.
+#: Lines of a chunk that can go, at least.
 LEAST_LINES = 2
+#: A repeated run of so many words goes.
+RUN = 51
+#: Words of a seed.
+SEED = 16
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_UNIT = 0x5DEECE66D
+
 
+# Chunks of lines
 
-def line_hash(line: Column) -> Column:
+
+def line_hash(line: bytes) -> int:
     """28 bits of a hash that other engines have too."""
-    return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
+    return int.from_bytes(md5(line, usedforsecurity=False).digest()[:4], "big") >> 4
+
+
+def units(text: bytes, divisor: int = DIVISOR, least_lines: int = LEAST_LINES) -> list[tuple[int, int, bytes]]:
+    """(first line, last line, text) of the chunks of a text that can go."""
+    if b"\n" not in text:
+        return []
+    lines, out = text.split(b"\n"), []
+    begin, before, end = 0, 0, len(lines) - 1
+    for k, line in enumerate(lines):
+        h = line_hash(line)
+        if (before * 31 + h) % divisor == 0 or k == end:
+            if k - begin + 1 >= least_lines:
+                out.append((begin, k, b"\n".join(lines[begin : k + 1])))
+            begin = k + 1
+        before = h
+    return out
+
+
+def unit_hash(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(text, _UNIT) - (1 << 63)
+
 
+# Runs of words
 
-def is_long(line: Column, long_words: int) -> Column:
-    return F.size(F.split(line, " ")) >= long_words
 
+def seeds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each seed of all rows: its hash, row, the first and the last word (of all rows) where a run of it begins; then the first word of each row."""
+    none = tuple(np.zeros(0, dtype=np.int64) for _ in range(4)) + (np.zeros(len(offsets), dtype=np.int64),)
+    if not len(data):
+        return none
+    inside = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(inside & np.append(True, ~inside[:-1] | edge[1:-1]))
+    if len(starts) < RUN:
+        return none
+    lengths = np.flatnonzero(inside & np.append(~inside[1:] | edge[1:-1], True)) + 1 - starts
+    hashes = np.zeros(len(starts), dtype=np.uint64)
+    eights = np.ndarray(len(data), dtype="<u8", buffer=np.append(data, np.zeros(8, dtype=np.uint8)), strides=(1,))
+    todo, at = np.arange(len(starts)), starts
+    while len(todo):  # eight bytes of each word that has more
+        over = lengths[todo] - (at - starts[todo])
+        part = eights[at] << (8 * (8 - np.minimum(over, 8))).astype(np.uint64)
+        hashes[todo] = mix(hashes[todo] * _STEP + part + np.minimum(over, 8).astype(np.uint64))
+        more = over > 8
+        todo, at = todo[more], at[more] + 8
+    rows = np.searchsorted(offsets, starts, side="right") - 1
+    # Polynomials of 2, 4, 8, 16 words.
+    power, sums, k = int(_STEP), hashes, 1
+    while k < SEED:
+        sums = sums[:-k] * np.uint64(power) + sums[k:]
+        power, k = power * power % 2**64, 2 * k
+    grams = mix(sums)
+    # The lowest, and the first of equal ones, over 1, 2, 4 ... places.
+    low, place, width, wanted = grams, np.arange(len(grams)), 1, RUN - SEED + 1
+    while width < wanted:
+        step = min(width, wanted - width)
+        right = low[step:] < low[:-step]
+        low, place, width = np.where(right, low[step:], low[:-step]), np.where(right, place[step:], place[:-step]), width + step
+    begins = np.flatnonzero(rows[: len(place)] == rows[RUN - 1 :])
+    if not len(begins):
+        return none
+    seed = place[begins]
+    new = np.flatnonzero(np.append(True, (seed[1:] != seed[:-1]) | (begins[1:] != begins[:-1] + 1)))
+    last = begins[np.append(new[1:], len(begins)) - 1]
+    return grams[seed[new]].view(np.int64), rows[begins[new]], begins[new], last, np.searchsorted(rows, np.arange(len(offsets) - 1))
 
-def ends(hashes: Column, long: Column, divisor: int) -> Column:
-    """Positions (from 0) of the last line of each chunk, from the hashes of the lines and from which are long."""
-    n = F.size(hashes)
 
-    def last(i: Column) -> Column:
-        rolled = (F.when(i > 0, F.get(hashes, i - 1)).otherwise(0) * 31 + F.get(hashes, i)) % divisor == 0
-        return rolled | F.get(long, i) | F.coalesce(F.get(long, i + 1), F.lit(False)) | (i == n - 1)
+def _raw(part: pa.Array) -> tuple[np.ndarray, np.ndarray, bytes]:
+    data, offsets = buffers(part)
+    return data, offsets, data.tobytes()
 
-    return F.filter(F.sequence(F.lit(0), n - 1), last)
 
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, t, u) of all units and seeds."""
+    for b in batches:
+        for first, part in slices(b.column(2)):
+            data, offsets, raw = _raw(part)
+            h, row, *_ = seeds(data, offsets)
+            found = [(r, unit_hash(x)) for r, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())) for _, _, x in units(raw[a:z])]
+            rows = pa.array(np.concatenate([row, np.array([r for r, _ in found], dtype=np.int64)]) + first)
+            hashes = pa.array(np.concatenate([h, np.array([x for _, x in found], dtype=np.int64)]))
+            yield pa.RecordBatch.from_arrays([hashes, b.column(0).take(rows), b.column(1).take(rows)], ["h", "t", "u"])
 
-def units(docs: DataFrame, text_col: str, key: list[str], divisor: int, long_words: int, least_lines: int) -> DataFrame:
-    """``key`` and for each unit that may go: its lines ``a`` to ``b``, and its text ``u``."""
-    inner = once(docs.filter(quoted(text_col) != ""), l=F.split(quoted(text_col), "\n", -1)).select(*key, "l")
-    inner = once(inner, h=F.transform("l", line_hash), g=F.transform("l", lambda x: is_long(x, long_words)))
-    inner = once(inner, e=ends(F.col("h"), F.col("g"), divisor))
-    spans = F.transform(F.col("e"), lambda b, k: F.struct(F.when(k > 0, F.get(F.col("e"), k - 1) + 1).otherwise(0).alias("a"), b.alias("b")))
-    may_go = F.filter(spans, lambda s: (s["b"] - s["a"] + 1 >= least_lines) | F.get(F.col("g"), s["a"]))
-    texts = F.transform(may_go, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.array_join(F.slice(F.col("l"), s["a"] + 1, s["b"] - s["a"] + 1), "\n").alias("u")))
-    return inner.select(*key, F.inline(texts))
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, t, u, i, p, z, x) of each unit and seed whose hash is among the last column: from word p all runs of a seed (z is -1), or lines p to z."""
+    before = None
+    for b in batches:
+        keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for first, part in slices(b.column(2)):
+            data, offsets, raw = _raw(part)
+            h, row, begin, last, words = seeds(data, offsets)
+            wanted = b.column(b.num_columns - 1).slice(first, len(part))
+            often = np.isin(h, wanted.flatten().to_numpy(zero_copy_only=False))
+            out: list[tuple[int, int, int, int, bytes]] = []
+            h, row, begin, last = h[often].tolist(), row[often], begin[often], last[often]
+            bounds = np.searchsorted(row, np.arange(len(part) + 1)).tolist()
+            begin, last, words = begin.tolist(), last.tolist(), words.tolist()
+            for r in range(len(part)):
+                if keys[first + r] == before:  # repeated rows follow each other
+                    continue
+                before = keys[first + r]
+                text, mine = raw[offsets[r] : offsets[r + 1]], set(wanted[r].as_py())
+                if bounds[r] < bounds[r + 1]:
+                    split = text.split()
+                    for k in range(bounds[r], bounds[r + 1]):
+                        p = begin[k] - words[r]
+                        out.append((h[k], first + r, p, -1, b" ".join(split[p : last[k] - words[r] + RUN])))
+                for a, z, x in units(text):
+                    if (k := unit_hash(x)) in mine:
+                        out.append((k, first + r, a, z, x))
+            columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
+            of = [b.column(k).take(columns[1]) for k in (0, 1, 3)]
+            yield pa.RecordBatch.from_arrays([columns[0], *of, *columns[2:]], ["h", "t", "u", "i", "p", "z", "x"])
 
-def repeated_lines(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS, least_lines: int = LEAST_LINES, most_words: int | None = None) -> DataFrame:
-    """``i``, ``t`` and the lines ``s`` that go, of documents ``i``, ``t`` with text ``x``; most_words: longer units are left out."""
-    parts = units(docs, "x", ["i", "t"], divisor, long_words, least_lines)
-    same = parts.withColumn("h", F.xxhash64("u"))
-    if most_words is not None:  # white space at the ends makes up to two empty parts; such short texts are shuffled at once
-        same = same.filter(F.size(F.split("u", r"[ \t\n\x0B\f\r]+")) <= most_words + 2)
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, u, p, z, run): the words p to z - 1 (run) or the lines p to z that go, from windows in order of hash and place."""
+    now, seen, whole = None, {}, {}
+    for b in batches:
+        rows, froms, tos, runs = [], [], [], []
+        for r, (h, t, u, p, z, x) in enumerate(zip(*[b.column(k).to_pylist() for k in (0, 1, 2, 4, 5, 6)])):
+            if h != now:
+                now, seen, whole = h, {}, {}
+            doc = (t, u)
+            if z >= 0:
+                if (first := whole.setdefault((x, True), (doc, p))) != (doc, p):
+                    rows.append(r)
+                    froms.append(p)
+                    tos.append(z)
+                    runs.append(False)
+                continue
+            if (first := whole.setdefault(x, doc)) != doc:  # its runs came before, in other documents
+                rows.append(r)
+                froms.append(p)
+                tos.append(p + x.count(b" ") + 1)
+                runs.append(True)
+                continue
+            ends = [e - 1 for e in accumulate(len(w) + 1 for w in x.split(b" "))]
+            begins, end = [0, *[e + 1 for e in ends]], -1
+            for g in range(len(ends) - RUN + 1):
+                other, q = seen.setdefault(x[begins[g] : ends[g + RUN - 1]], (doc, p + g))
+                if other != doc or p + g >= q + RUN:
+                    if p + g <= end:
+                        tos[-1] = p + g + RUN
+                    else:
+                        rows.append(r)
+                        froms.append(p + g)
+                        tos.append(p + g + RUN)
+                        runs.append(True)
+                    end = p + g + RUN
+        took = pa.array(rows, pa.int64())
+        columns = [b.column(1).take(took), b.column(2).take(took), pa.array(froms, pa.int32()), pa.array(tos, pa.int32()), pa.array(runs, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, ["t", "u", "p", "z", "run"])
+
+
+def cut(text: str | None, cuts: list[dict] | None, later: bool | None) -> str | None:
+    """``text`` without what goes; null if no word is left. later: the whole text came before."""
+    if text is None:
+        return None
+    raw = text.encode()
+    if later:
+        words, gone = [(0, 1 << 60)] if len(raw.split()) >= RUN else [], {k for a, z, _ in units(raw) for k in range(a, z + 1)}
     else:
-        hashed = parts.select("i", "t", "a", "b", F.xxhash64("u").alias("h"))
-        often = hashed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-        same = same.join(often, "h", "left_semi")
-    # Bytes are compared here: a partition of the window has one text.
-    place = W.partitionBy("h", "u").orderBy(F.col("i").asc_nulls_last(), "t", "a")
-    nth = same.withColumn("nth", F.dense_rank().over(place)).filter("nth > 1")
-    return nth.select("i", "t", F.sequence("a", "b").alias("s")).groupBy("i", "t").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS, least_lines: int = LEAST_LINES) -> DataFrame:
-    """``docs`` without the repeated units, in the columns of ``docs``."""
-    i, t, gone, left = free(docs, "i", "t", "gone", "left")
-    keyed = docs.withColumns({i: quoted(id_col), t: F.xxhash64(quoted(text_col))})
-    # A document is its id and the hash of its text.
-    repeated = repeated_lines(keyed.select(quoted(i).alias("i"), quoted(t).alias("t"), quoted(text_col).alias("x")), divisor, long_words, least_lines)
-    right = repeated.select(F.col("i").alias("ri"), F.col("t").alias("rt"), F.col("s").alias(gone))
-    both = keyed.join(right, quoted(i).eqNullSafe(F.col("ri")) & (quoted(t) == F.col("rt")), "left")
-    lines = F.filter(F.split(quoted(text_col), "\n", -1), lambda _, k: ~F.array_contains(quoted(gone), k))
-    rest = once(both, **{left: F.when(quoted(gone).isNotNull(), lines)}).filter(quoted(gone).isNull() | (F.size(quoted(left)) > 0))
-    text = F.when(quoted(gone).isNull(), quoted(text_col)).otherwise(F.array_join(quoted(left), "\n"))
-    return with_text(rest, text, text_col).select(*[quoted(c) for c in docs.columns])
+        words = sorted((c["p"], c["z"]) for c in cuts or [] if c["run"])
+        gone = {k for c in cuts or [] if not c["run"] for k in range(c["p"], c["z"] + 1)}
+    out, at, k = [], 0, 0
+    for n, line in enumerate(raw.split(b"\n")):
+        mine = line.split()
+        end, rest, here = at + len(mine), [], at
+        while k < len(words) and words[k][0] < end:
+            a, z = words[k]
+            rest += mine[here - at : max(a, here) - at]
+            here = max(here, min(z, end))
+            if z > end:
+                break
+            k += 1
+        if n not in gone:
+            if here == at:
+                out.append(line)
+            elif rest := rest + mine[here - at :]:
+                out.append(b" ".join(rest))
+        at = end
+    left = b"\n".join(out)
+    return left.decode() if left == raw or left.split() else None
+
+
+# The whole
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the repeated units and runs, in the columns of ``docs``."""
+    i, t, u, s = free(docs, "i", "t", "u", "s")
+    text = quoted(text_col)
+    # A document is its id and its text: t and u. s is a second hash of the text.
+    keyed = docs.withColumns({i: quoted(id_col), t: F.xxhash64(text), u: F.xxhash64(quoted(id_col), quoted(id_col).isNull())})
+    names = docs.withColumns({i: quoted(id_col), t: F.xxhash64(text), u: F.xxhash64(quoted(id_col), quoted(id_col).isNull()), s: F.xxhash64(F.md5(text))})
+    names = names.filter(text != "").select(quoted(i).alias("i"), quoted(t).alias("t"), quoted(u).alias("u"), quoted(s).alias("s"))
+    copies = names.groupBy("t", "s").agg(F.min(F.struct(F.col("i").isNull(), "i", "u")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("t", "s", F.col("first.u").alias("first"))
+    later = written(names.join(copies, ["t", "s"]).filter("u <> first").select("t", "u").distinct(), "copies")
+
+    kinds = {"h": LongType(), "t": LongType(), "u": LongType(), "i": docs.schema[id_col].dataType, "p": IntegerType(), "z": IntegerType(), "x": BinaryType()}
+    schema = lambda names: StructType([StructField(n, kinds[n]) for n in names.split()])
+    hashed = written(keyed.select(quoted(t).alias("t"), quoted(u).alias("u"), text.alias("x")).mapInArrow(_hashes, schema("h t u")), "hashes")
+    often = hashed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    wanted = hashed.join(often, "h", "left_semi").groupBy("t", "u").agg(F.collect_set("h").alias("hs")).join(later, ["t", "u"], "left_anti")
+
+    # The documents are shuffled once: both joins with them have all columns and the same keys.
+    counts = ["n_chars"] if dict(docs.dtypes).get("n_chars") in ("bigint", "int") else []  # made anew by with_text
+    carried = keyed.select(quoted(t), quoted(u), text, quoted(i), *[quoted(c) for c in docs.columns if c != text_col and c not in counts])
+    key = lambda df, other: (quoted(t) == other["wt"]) & (quoted(u) == other["wu"])
+    asked = wanted.select(F.col("t").alias("wt"), F.col("u").alias("wu"), F.col("hs").alias("whs"))
+    both = carried.join(asked, key(carried, asked)).select(*map(quoted, carried.columns), "whs")
+    both = both.toDF("t", "u", "x", "i", *[f"c{k}" for k in range(len(carried.columns) - 4)], "hs")
+    windows = both.mapInArrow(_windows, schema("h t u i p z x"))
+    placed = windows.repartition("h").sortWithinPartitions("h", F.col("i").asc_nulls_last(), "t", "u", "p")
+    found = placed.mapInArrow(_repeated, "t bigint, u bigint, p int, z int, run boolean")
+    cuts = found.groupBy("t", "u").agg(F.collect_set(F.struct("p", "z", "run")).alias("cuts")).select("t", "u", "cuts", F.lit(False).alias("later"))
+    cuts = cuts.unionByName(later.select("t", "u", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"), F.lit(True).alias("later")))
+    c, l, left = free([*docs.columns, i, t, u], "cuts", "later", "left")
+    right = cuts.select(F.col("t").alias("wt"), F.col("u").alias("wu"), F.col("cuts").alias(c), F.col("later").alias(l))
+    all_docs = carried.join(right, key(carried, right), "left").withColumns({x: F.lit(None).cast(docs.schema[x].dataType) for x in counts})
+    hit = quoted(l).isNotNull()
+    done = F.udf(cut, "string", useArrow=True)(F.when(hit, text), quoted(c), quoted(l))
+    rest = all_docs.withColumn(left, done).filter(~hit | quoted(left).isNotNull())
+    return with_text(rest, F.when(hit, quoted(left)).otherwise(text), text_col).select(*[quoted(x) for x in docs.columns])
 
 
 def sql(table: str = "documents") -> str:
     """The same in DuckDB's SQL over the driver's columns, where ids are unique and not null."""
-    return f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as k from {table} where text <> ''),
-h as (select *, ('0x' || substr(md5(line), 1, 7))::BIGINT as h, len(string_split(line, ' ')) >= {LONG_WORDS} as long from l),
-e as (select *, (coalesce(lag(h) over w, 0) * 31 + h) % {DIVISOR} = 0 or long or coalesce(lead(long) over w, true) as last from h window w as (partition by doc_id order by k)),
+    word = r"[^ \t\n\x0b\f\r]+"
+    return rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as k from {table} where text <> ''),
+h as (select *, ('0x' || substr(md5(line), 1, 7))::BIGINT as h, regexp_extract_all(line, '{word}') as ws from l),
+e as (select *, (coalesce(lag(h) over w, 0) * 31 + h) % {DIVISOR} = 0 as last, coalesce(sum(len(ws)) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0)::BIGINT as w0 from h window w as (partition by doc_id order by k)),
 c as (select *, coalesce(sum(last::INT) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as chunk from e),
-u as (select doc_id, chunk, min(k) as a, max(k) as b, string_agg(line, chr(10) order by k) as u from c group by all having count(*) >= {LEAST_LINES} or bool_or(long)),
-r as (select *, row_number() over (partition by u order by doc_id, a) as nth from u),
-g as (select c.doc_id, c.k, c.line from c left join (select * from r where nth > 1) r on c.doc_id = r.doc_id and c.chunk = r.chunk where r.doc_id is null),
-t as (select doc_id, string_agg(line, chr(10) order by k) as text from g group by doc_id
+u as (select doc_id, chunk, string_agg(line, chr(10) order by k) as u, min(k) as a from c group by all having count(*) >= {LEAST_LINES}),
+g as (select doc_id, chunk from u qualify row_number() over (partition by u order by doc_id, a) > 1),
+d as (select doc_id, regexp_extract_all(text, '{word}') as ws from {table} where text <> ''),
+r as (select doc_id, unnest(list_transform(range(0, len(ws) - {RUN - 1}), lambda i: array_to_string(list_slice(ws, i + 1, i + {RUN}), ' '))) as run, unnest(range(0, len(ws) - {RUN - 1})) as p from d where len(ws) >= {RUN}),
+f as (select doc_id, p, first_value(doc_id) over w as d0, first_value(p) over w as p0 from r window w as (partition by run order by doc_id, p)),
+x as (select distinct doc_id, unnest(range(p, p + {RUN})) as j from f where doc_id <> d0 or p >= p0 + {RUN}),
+w as (select doc_id, k, unnest(ws) as word, w0 + generate_subscripts(ws, 1) - 1 as j from c),
+y as (select w.doc_id, k, bool_or(x.j is not null) as hit, string_agg(word, ' ' order by w.j) filter (where x.j is null) as rest from w left join x on x.doc_id = w.doc_id and x.j = w.j group by all),
+z as (select c.doc_id, c.k, case when hit then rest else line end as line from c left join g on g.doc_id = c.doc_id and g.chunk = c.chunk left join y on y.doc_id = c.doc_id and y.k = c.k where g.doc_id is null),
+t as (select doc_id, string_agg(line, chr(10) order by k) as text from z where line is not null group by doc_id
   union all select doc_id, text from {table} where text = '' or text is null)
-select d.doc_id, t.text, d.lang, d.source, length(t.text)::BIGINT as n_chars from t join {table} d using (doc_id)"""
+select d.doc_id, t.text, d.lang, d.source, length(t.text)::BIGINT as n_chars from t join {table} d using (doc_id) where t.text is null or t.text = d.text or regexp_matches(t.text, '{word}')"""

@@ -1,5 +1,6 @@
 """Line dedup, packing, WARC bundles, nearest neighbours, n-gram join, the pipeline."""
 
+import hashlib
 import random
 import re
 
@@ -9,7 +10,7 @@ import pytest
 import zstandard
 from helpers import DOCS, clashing, docs, plain, same_as_sql
 
-from quillon.llm import ann, graph, jaccard, linededup, packing, passages, warc
+from quillon.llm import ann, graph, jaccard, linededup, packing, warc
 
 HARD = [None, "", "\n\n", "x" * 100_000, (7, "tie."), (7, "tie."), (None, "no id."), (None, "no id."), (8, None), "!!! ???"]
 WORDS = [a + b for a in ("ba", "ce", "di", "fo", "gu", "ha", "je", "ki") for b in ("nd", "rt", "ls", "mp", "ck", "st", "tt")]
@@ -33,60 +34,69 @@ def corpus(rng):
     return texts
 
 
+def slow_dedup(rows):
+    """The rules by dictionaries of all units and runs. rows: (id, text) with different ids or texts."""
+    key = lambda r: (r[0] is None, r[0] or 0)
+    chunks, runs, out = {}, {}, []
+    for i, text in sorted(set(rows), key=key):
+        if not text:
+            out.append((i, text))
+            continue
+        lines = text.split("\n")
+        gone, begin, before = set(), 0, 0
+        for k, line in enumerate(lines):
+            h = int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
+            if (before * 31 + h) % 3 == 0 or k == len(lines) - 1:
+                if k > begin and chunks.setdefault("\n".join(lines[begin : k + 1]), (i, text, begin)) != (i, text, begin):
+                    gone.update(range(begin, k + 1))
+                begin = k + 1
+            before = h
+        words, cut = re.findall("[^ \t\n\x0b\f\r]+", text), set()
+        for p in range(len(words) - 50):
+            e, t, q = runs.setdefault(tuple(words[p : p + 51]), (i, text, p))
+            if (e, t) != (i, text) or p >= q + 51:
+                cut.update(range(p, p + 51))
+        left, at = [], 0
+        for k, line in enumerate(lines):
+            mine = re.findall("[^ \t\n\x0b\f\r]+", line)
+            rest = [w for j, w in enumerate(mine, at) if j not in cut]
+            at += len(mine)
+            if k not in gone and (rest or not mine):
+                left.append(line if len(rest) == len(mine) else " ".join(rest))
+        new = "\n".join(left)
+        if new == text or new.split():
+            out.append((i, new))
+    return out
+
+
+def deduped(df):
+    return plain((r["doc_id"], r["text"]) for r in linededup.dedup(df).collect())
+
+
 def test_line_dedup_equals_sql(spark):
     rng = random.Random(0)
     texts = corpus(rng)
-    df = docs(spark, [*texts, texts[0], texts[3], "", None, "one line", "one line"])
+    df = docs(spark, [*texts, texts[0], texts[3], "", None, "one line", "one line", "\n\n", "\n\n", "a\n\n\nb", "c\n\n\nb", " \t two  spaces\r\n" * 30, "x " + " \t two  spaces\r\n" * 30])
     same_as_sql(linededup.dedup(df), linededup.sql(), documents=df)
 
 
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(11)
+    shared = ["\n".join(prose(rng, w) for _ in range(n)) for n, w in [(4, 15), (5, 20), (3, 40), (10, 10), (1, 50), (1, 51), (1, 300), (51, 1)] * 3]
+    texts = ["first " + rng.choice([" ", "\n", "\n\n"]).join([prose(rng, rng.randint(1, 40)), rng.choice(shared), prose(rng, 3), rng.choice(shared), prose(rng, rng.randint(1, 90))]) for _ in range(80)]
+    texts += ["water " * 400, "a b " * 90, *corpus(rng), texts[3], texts[5], texts[3], *HARD, "é\u3000" * 60, "wörter " * 50, "water " * 400]
+    rows = [x if isinstance(x, tuple) else (k, x) for k, x in enumerate(texts)]
+    want = slow_dedup(rows)
+    got = deduped(docs(spark, texts).repartition(5))
+    assert set(got) == set(plain(want)) and sum(len((t or "").split()) for _, t in want) < 0.7 * sum(len((t or "").split()) for _, t in set(rows))
+    assert got.count((7, "tie.")) == 2 and got.count((None, "no id.")) == 2  # repeated rows
+
+
 def test_line_dedup_is_shift_resistant(spark):
     rng = random.Random(1)
     block = [prose(rng, 6) for _ in range(400)]
-    df = docs(spark, ["\n".join(block), "\n".join(["a new first line", *block])])
-    rest = {r["doc_id"]: r["text"].split("\n") for r in linededup.dedup(df).collect()}
-    # Single lines between two boundaries (a ninth of all) stay, and the chunk that the new line is in.
-    assert rest[0] == block and len(rest[1]) < 100 and rest[1][0] == "a new first line"
-
-
-def test_line_dedup_edges(spark):
-    rng = random.Random(2)
-    passage = prose(rng, 70)
-    many = "\n".join(prose(rng, 5) for _ in range(20_000))
-    df = clashing(spark, [*HARD, "start\n" + passage, passage + "\nend", many])
-    out = linededup.dedup(df)
-    assert out.columns == df.columns
-    rows = {(r["doc_id"], r["text"]) for r in out.collect()}
-    assert {(10, "start\n" + passage), (11, "end"), (12, many), (0, None), (1, ""), (7, "tie."), (None, "no id.")} <= rows
-    assert linededup.dedup(df.limit(0)).count() == 0
-
-
-# Passages
-
-
-def slow_passages(texts):
-    """Which words of each text go, by all runs of 51 words."""
-    seen, out = {}, []
-    for d, text in enumerate(texts):
-        found = [m.span() for m in re.finditer(r"\S+", text)]
-        gone = set()
-        for p in range(len(found) - 50):
-            e, q = seen.setdefault(text[found[p][0] : found[p + 50][1]], (d, p))
-            if e != d or p >= q + 51:
-                gone.update(range(p, p + 51))
-        out.append([text[a:b] for k, (a, b) in enumerate(found) if k not in gone])
-    return out
-
-
-def test_passages_equal_brute_force(spark):
-    rng = random.Random(11)
-    shared = ["\n".join(prose(rng, w) for _ in range(n)) for n, w in [(4, 15), (5, 20), (3, 40), (10, 10), (1, 50), (1, 51), (1, 300), (51, 1)] * 3]
-    # No chunks of lines: passages begin and end within lines.
-    texts = ["first " + " ".join([prose(rng, rng.randint(1, 40)), rng.choice(shared), prose(rng, 3), rng.choice(shared), prose(rng, rng.randint(1, 90))]) for _ in range(80)]
-    texts += ["water " * 400, "a b " * 90]
-    rows = {r["doc_id"]: r["text"].split() for r in passages.dedup(docs(spark, texts)).collect()}
-    wanted = slow_passages(texts)
-    assert rows == {d: w for d, w in enumerate(wanted) if w} and sum(map(len, wanted)) < 0.7 * sum(len(t.split()) for t in texts)
+    rest = dict(deduped(docs(spark, ["\n".join(block), "\n".join(["a new first line", *block])])))
+    assert rest == {0: "\n".join(block), 1: "a new first line"}
 
 
 def test_passages_over_lines_and_within_one(spark):
@@ -95,15 +105,21 @@ def test_passages_over_lines_and_within_one(spark):
     inner = prose(rng, 60)
     texts = [f"{prose(rng, 5)}\n{x}\n{prose(rng, 6)}" for x in lines] + [f"before it {inner} after it"]
     later = [f"top {k}\n\n{x}\nend {k}" for k, x in enumerate(lines)] + [f"so then: {inner} and on", inner]
-    rows = {r["doc_id"]: r["text"] for r in passages.dedup(docs(spark, texts + later)).collect()}
-    assert rows == dict(enumerate(texts)) | {5 + k: f"top {k}\n\nend {k}" for k in range(4)} | {9: "so then: and on"}
+    assert dict(deduped(docs(spark, texts + later))) == dict(enumerate(texts)) | {5 + k: f"top {k}\n\nend {k}" for k in range(4)} | {9: "so then: and on"}
 
 
-def test_passages_edges(spark):
-    df = clashing(spark, [*HARD, "", "é\u3000" * 60, "wörter " * 50])
-    out = passages.dedup(df)
-    assert out.columns == df.columns and plain(out.collect()) == plain(linededup.dedup(df).collect())
-    assert passages.dedup(df.limit(0)).count() == 0
+def test_line_dedup_edges(spark):
+    rng = random.Random(2)
+    passage = prose(rng, 70)
+    many = "\n".join(prose(rng, 5) for _ in range(20_000))
+    copies = [f"{prose(rng, 8)}\n{prose(rng, 8)}\n{prose(rng, 60)}"] * 300  # a third of all rows
+    df = clashing(spark, [*HARD, "start\n" + passage, passage + "\nend", many, *copies, *[prose(rng, 5) for _ in range(600)]])
+    out = linededup.dedup(df)
+    assert out.columns == df.columns
+    rows = {(r["doc_id"], r["text"]) for r in out.collect()}
+    assert {(10, "start\n" + passage), (11, "end"), (12, many), (0, None), (1, ""), (7, "tie."), (None, "no id."), (13, copies[0])} <= rows
+    assert not {i for i, _ in rows} & set(range(14, 313))
+    assert linededup.dedup(df.limit(0)).count() == 0
 
 
 # Packing
