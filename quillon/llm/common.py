@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import re
+import gc
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -12,19 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it isn't set, a session whose executors are this very process (tests, one machine) gets a folder in Spark's own; on a cluster it is an error.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not known:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        known = f"file://{spark.sparkContext._temp_dir}"
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
+from quillon.sources.storage import shared_dir
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,8 +23,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    removed_at_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more, and lets Spark remove the files of shuffles that are over (it does when their plans are collected)."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        _remove(spark, t._written_to)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def removed_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from quillon.llm.common import free, quoted, with_text, written
+from quillon.llm.common import done_with, free, quoted, with_text, written
 from quillon.llm.grams import _STEP, buffers, mix, slices
 
 #: One in so many line pairs ends a chunk.
@@ -41,7 +41,7 @@ LEAST_LINES = 2
 #: A repeated run of so many words goes.
 RUN = 51
 #: Words of a seed.
-SEED = 16
+SEED = 8
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _UNIT = 0x5DEECE66D
@@ -100,7 +100,7 @@ def seeds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         more = over > 8
         todo, at = todo[more], at[more] + 8
     rows = np.searchsorted(offsets, starts, side="right") - 1
-    # Polynomials of 2, 4, 8, 16 words.
+    # Polynomials of 2, 4, 8 words.
     power, sums, k = int(_STEP), hashes, 1
     while k < SEED:
         sums = sums[:-k] * np.uint64(power) + sums[k:]
@@ -127,33 +127,37 @@ def _raw(part: pa.Array) -> tuple[np.ndarray, np.ndarray, bytes]:
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, t, u) of all units and seeds."""
+    """(h, d) of all units and seeds."""
     for b in batches:
-        for first, part in slices(b.column(2)):
+        for first, part in slices(b.column(1)):
             data, offsets, raw = _raw(part)
             h, row, *_ = seeds(data, offsets)
             found = [(r, unit_hash(x)) for r, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())) for _, _, x in units(raw[a:z])]
             rows = pa.array(np.concatenate([row, np.array([r for r, _ in found], dtype=np.int64)]) + first)
             hashes = pa.array(np.concatenate([h, np.array([x for _, x in found], dtype=np.int64)]))
-            yield pa.RecordBatch.from_arrays([hashes, b.column(0).take(rows), b.column(1).take(rows)], ["h", "t", "u"])
+            yield pa.RecordBatch.from_arrays([hashes, b.column(0).take(rows)], ["h", "d"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, t, u, i, p, z, x) of each unit and seed whose hash is among the last column: from word p all runs of a seed (z is -1), or lines p to z."""
+    """(h, t, i, p, z, x) of each unit and seed whose hash is among the last column but one: from word p all runs of a seed (z is -1), or lines p to z.
+
+    The last column has the whole copies, which send nothing.
+    """
     before = None
     for b in batches:
         keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        whole = [k in [(x["t"], x["u"]) for x in later] if later else False for k, later in zip(keys, b.column(b.num_columns - 1).to_pylist())]
         for first, part in slices(b.column(2)):
             data, offsets, raw = _raw(part)
             h, row, begin, last, words = seeds(data, offsets)
-            wanted = b.column(b.num_columns - 1).slice(first, len(part))
+            wanted = b.column(b.num_columns - 2).slice(first, len(part))
             often = np.isin(h, wanted.flatten().to_numpy(zero_copy_only=False))
             out: list[tuple[int, int, int, int, bytes]] = []
             h, row, begin, last = h[often].tolist(), row[often], begin[often], last[often]
             bounds = np.searchsorted(row, np.arange(len(part) + 1)).tolist()
             begin, last, words = begin.tolist(), last.tolist(), words.tolist()
             for r in range(len(part)):
-                if keys[first + r] == before:  # repeated rows follow each other
+                if keys[first + r] == before or whole[first + r]:  # repeated rows follow each other
                     continue
                 before = keys[first + r]
                 text, mine = raw[offsets[r] : offsets[r + 1]], set(wanted[r].as_py())
@@ -166,19 +170,19 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if (k := unit_hash(x)) in mine:
                         out.append((k, first + r, a, z, x))
             columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
-            of = [b.column(k).take(columns[1]) for k in (0, 1, 3)]
-            yield pa.RecordBatch.from_arrays([columns[0], *of, *columns[2:]], ["h", "t", "u", "i", "p", "z", "x"])
+            of = [b.column(k).take(columns[1]) for k in (0, 3)]
+            yield pa.RecordBatch.from_arrays([columns[0], *of, *columns[2:]], ["h", "t", "i", "p", "z", "x"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, u, p, z, run): the words p to z - 1 (run) or the lines p to z that go, from windows in order of hash and place."""
+    """(t, i, p, z, run): the words p to z - 1 (run) or the lines p to z that go, from windows in order of hash and place."""
     now, seen, whole = None, {}, {}
     for b in batches:
         rows, froms, tos, runs = [], [], [], []
-        for r, (h, t, u, p, z, x) in enumerate(zip(*[b.column(k).to_pylist() for k in (0, 1, 2, 4, 5, 6)])):
+        for r, (h, t, i, p, z, x) in enumerate(zip(*[b.column(k).to_pylist() for k in range(6)])):
             if h != now:
                 now, seen, whole = h, {}, {}
-            doc = (t, u)
+            doc = (t, i)
             if z >= 0:
                 if (first := whole.setdefault((x, True), (doc, p))) != (doc, p):
                     rows.append(r)
@@ -207,19 +211,20 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     end = p + g + RUN
         took = pa.array(rows, pa.int64())
         columns = [b.column(1).take(took), b.column(2).take(took), pa.array(froms, pa.int32()), pa.array(tos, pa.int32()), pa.array(runs, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(columns, ["t", "u", "p", "z", "run"])
+        yield pa.RecordBatch.from_arrays(columns, ["t", "i", "p", "z", "run"])
 
 
-def cut(text: str | None, cuts: list[dict] | None, later: bool | None) -> str | None:
-    """``text`` without what goes; null if no word is left. later: the whole text came before."""
+def cut(text: str | None, t: int, u: int, cuts: list[dict] | None) -> str | None:
+    """``text`` without what goes; null if no word is left. A cut without a place: the whole text came before."""
+    cuts = [c for c in cuts or [] if (c["t"], c["u"]) == (t, u)]
     if text is None:
         return None
     raw = text.encode()
-    if later:
+    if any(c["p"] is None for c in cuts):
         words, gone = [(0, 1 << 60)] if len(raw.split()) >= RUN else [], {k for a, z, _ in units(raw) for k in range(a, z + 1)}
     else:
-        words = sorted((c["p"], c["z"]) for c in cuts or [] if c["run"])
-        gone = {k for c in cuts or [] if not c["run"] for k in range(c["p"], c["z"] + 1)}
+        words = sorted((c["p"], c["z"]) for c in cuts if c["run"])
+        gone = {k for c in cuts if not c["run"] for k in range(c["p"], c["z"] + 1)}
     out, at, k = [], 0, 0
     for n, line in enumerate(raw.split(b"\n")):
         mine = line.split()
@@ -246,38 +251,41 @@ def cut(text: str | None, cuts: list[dict] | None, later: bool | None) -> str |
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated units and runs, in the columns of ``docs``."""
-    i, t, u, s = free(docs, "i", "t", "u", "s")
+    i, t, u, d, s = free(docs, "i", "t", "u", "d", "s")
     text = quoted(text_col)
-    # A document is its id and its text: t and u. s is a second hash of the text.
-    keyed = docs.withColumns({i: quoted(id_col), t: F.xxhash64(text), u: F.xxhash64(quoted(id_col), quoted(id_col).isNull())})
-    names = docs.withColumns({i: quoted(id_col), t: F.xxhash64(text), u: F.xxhash64(quoted(id_col), quoted(id_col).isNull()), s: F.xxhash64(F.md5(text))})
-    names = names.filter(text != "").select(quoted(i).alias("i"), quoted(t).alias("t"), quoted(u).alias("u"), quoted(s).alias("s"))
+    of_id = lambda c: F.xxhash64(c, c.isNull())
+    # A document is its id and its text: t and u, and d is of both. s is a second hash of the text.
+    keyed = docs.withColumns({i: quoted(id_col), t: F.xxhash64(text), u: of_id(quoted(id_col))}).withColumn(d, F.xxhash64(quoted(t), quoted(u)))
+    names = keyed.filter(text != "").select(quoted(i).alias("i"), quoted(t).alias("t"), quoted(u).alias("u"), quoted(d).alias("d"), F.xxhash64(F.md5(text)).alias("s"))
     copies = names.groupBy("t", "s").agg(F.min(F.struct(F.col("i").isNull(), "i", "u")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("t", "s", F.col("first.u").alias("first"))
-    later = written(names.join(copies, ["t", "s"]).filter("u <> first").select("t", "u").distinct(), "copies")
+    later = written(names.join(copies, ["t", "s"]).filter("u <> first").select("d", "t", "u").distinct(), "copies")
 
-    kinds = {"h": LongType(), "t": LongType(), "u": LongType(), "i": docs.schema[id_col].dataType, "p": IntegerType(), "z": IntegerType(), "x": BinaryType()}
-    schema = lambda names: StructType([StructField(n, kinds[n]) for n in names.split()])
-    hashed = written(keyed.select(quoted(t).alias("t"), quoted(u).alias("u"), text.alias("x")).mapInArrow(_hashes, schema("h t u")), "hashes")
+    kind = docs.schema[id_col].dataType
+    hashed = written(keyed.select(quoted(d).alias("d"), text.alias("x")).mapInArrow(_hashes, "h bigint, d bigint"), "hashes")
     often = hashed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    wanted = hashed.join(often, "h", "left_semi").groupBy("t", "u").agg(F.collect_set("h").alias("hs")).join(later, ["t", "u"], "left_anti")
+    wanted = hashed.join(often, "h", "left_semi").groupBy("d").agg(F.collect_set("h").alias("hs"))
+    wanted = written(wanted.join(later.groupBy("d").agg(F.collect_list(F.struct("t", "u")).alias("later")), "d", "left"), "wanted")
+    done_with(hashed)
 
-    # The documents are shuffled once: both joins with them have all columns and the same keys.
+    # The documents are shuffled once: both joins with them have all columns and the same key.
     counts = ["n_chars"] if dict(docs.dtypes).get("n_chars") in ("bigint", "int") else []  # made anew by with_text
-    carried = keyed.select(quoted(t), quoted(u), text, quoted(i), *[quoted(c) for c in docs.columns if c != text_col and c not in counts])
-    key = lambda df, other: (quoted(t) == other["wt"]) & (quoted(u) == other["wu"])
-    asked = wanted.select(F.col("t").alias("wt"), F.col("u").alias("wu"), F.col("hs").alias("whs"))
-    both = carried.join(asked, key(carried, asked)).select(*map(quoted, carried.columns), "whs")
-    both = both.toDF("t", "u", "x", "i", *[f"c{k}" for k in range(len(carried.columns) - 4)], "hs")
-    windows = both.mapInArrow(_windows, schema("h t u i p z x"))
-    placed = windows.repartition("h").sortWithinPartitions("h", F.col("i").asc_nulls_last(), "t", "u", "p")
-    found = placed.mapInArrow(_repeated, "t bigint, u bigint, p int, z int, run boolean")
-    cuts = found.groupBy("t", "u").agg(F.collect_set(F.struct("p", "z", "run")).alias("cuts")).select("t", "u", "cuts", F.lit(False).alias("later"))
-    cuts = cuts.unionByName(later.select("t", "u", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"), F.lit(True).alias("later")))
-    c, l, left = free([*docs.columns, i, t, u], "cuts", "later", "left")
-    right = cuts.select(F.col("t").alias("wt"), F.col("u").alias("wu"), F.col("cuts").alias(c), F.col("later").alias(l))
-    all_docs = carried.join(right, key(carried, right), "left").withColumns({x: F.lit(None).cast(docs.schema[x].dataType) for x in counts})
-    hit = quoted(l).isNotNull()
-    done = F.udf(cut, "string", useArrow=True)(F.when(hit, text), quoted(c), quoted(l))
+    carried = keyed.select(quoted(t), quoted(u), text, quoted(i), quoted(d), *[quoted(c) for c in docs.columns if c != text_col and c not in counts])
+    asked = wanted.select(F.col("d").alias("wd"), F.col("hs").alias("whs"), F.col("later").alias("wlater"))
+    wd, whs, wlater = free([*docs.columns, i, t, u, d], "wd", "whs", "wlater")
+    asked = asked.toDF(wd, whs, wlater)
+    both = carried.join(asked, quoted(d) == quoted(wd)).select(*map(quoted, carried.columns), quoted(whs), quoted(wlater))
+    both = both.toDF("t", "u", "x", "i", *[f"c{k}" for k in range(len(carried.columns) - 4)], "hs", "later")
+    windows = both.mapInArrow(_windows, StructType([StructField(n, k) for n, k in (("h", LongType()), ("t", LongType()), ("i", kind), ("p", IntegerType()), ("z", IntegerType()), ("x", BinaryType()))]))
+    placed = windows.repartition("h").sortWithinPartitions("h", F.col("i").asc_nulls_last(), "t", "p")
+    found = placed.mapInArrow(_repeated, f"t bigint, i {kind.simpleString()}, p int, z int, run boolean").withColumn("u", of_id(F.col("i")))
+    found = found.select(F.xxhash64("t", "u").alias("d"), "t", "u", "p", "z", "run")
+    nothing = [F.lit(None).cast(k).alias(n) for n, k in (("p", "int"), ("z", "int"), ("run", "boolean"))]
+    cuts = found.unionByName(later.select("d", "t", "u", *nothing)).groupBy("d").agg(F.collect_set(F.struct("t", "u", "p", "z", "run")).alias("cuts"))
+    wcuts, left = free([*docs.columns, i, t, u, d, wd], "wcuts", "left")
+    all_docs = carried.join(cuts.toDF(wd, wcuts), quoted(d) == quoted(wd), "left").withColumns({x: F.lit(None).cast(docs.schema[x].dataType) for x in counts})
+    hit = F.exists(quoted(wcuts), lambda c: (c["t"] == quoted(t)) & (c["u"] == quoted(u)))
+    hit = F.coalesce(hit, F.lit(False))
+    done = F.udf(cut, "string", useArrow=True)(F.when(hit, text), quoted(t), quoted(u), quoted(wcuts))
     rest = all_docs.withColumn(left, done).filter(~hit | quoted(left).isNotNull())
     return with_text(rest, F.when(hit, quoted(left)).otherwise(text), text_col).select(*[quoted(x) for x in docs.columns])
 
