@@ -1,15 +1,16 @@
 """Toxicity behind disguises: text is restored by Viterbi decoding under a character language model, then scored.
 
-Three passes. The language model counts the byte trigrams (in classes: letters, bytes beyond ASCII, all else as a word
-boundary) of the whole corpus; partitions add up their counts, the table has a fixed size. The lexicon comes from
+Three passes. The lexicon comes from
 labelled documents (a bounded sample, ``labelled``): words with the log odds of being in a toxic document; the
-threshold of a document's sum is chosen by two-fold cross-validation on the sample. The third pass restores and scores
-every document.
+threshold of a document's sum is chosen by two-fold cross-validation on the sample. The language model counts the byte trigrams (in classes: letters, bytes
+beyond ASCII, all else as a word boundary) of the whole corpus, and how often the words of the lexicon and their parts are tokens; partitions add up their
+counts, the tables have a fixed size. The third pass restores and scores every document.
 
 A word that may be disguised (digits, symbols, hyphens or apostrophes among letters, a letter three times in a row, doubled letters, letters
 that stand alone one after the other, pieces of words that make a word of the lexicon together) becomes a lattice: a character can stand for itself, for the letters it looks like,
 or for nothing if it is a symbol or a gap; a run of one letter for one or two of it. The path that the language model and
-the cost of each disguise make the most likely is the restored text. Other words have one path and are taken as they are.
+the cost of each disguise make the most likely is the restored text. Pieces count as a word where the corpus makes that likelier than that
+they stand there as words of their own. Other words have one path and are taken as they are.
 
 Defined results: a null or empty text is not toxic; repeated rows get the same result each; null ids are passed on; an
 empty table gives no rows; without labelled documents of both kinds there is no lexicon and nothing is toxic. In
@@ -46,6 +47,8 @@ LOOKS = {
     "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¢": "c", "¡": "i",
 }
 AS_LETTER, AS_NOTHING, LOOK_DROPPED, AS_GAP, DIGIT_DROPPED, DIGIT_GAP, ONE_OF_RUN, TWO_OF_RUN = -0.5, -0.7, -1.5, -2.0, -8.0, -6.0, -1.0, -0.3
+#: A word is cut into pieces one time in a thousand, per cut.
+CUT = math.log(1000)
 LETTERS = re.compile(r"[^\W\d_]+")
 _EDGE = ".,;:?\"'()[]{}«»“”‘’…¿-_*&#%^~=/\\<>`"
 _DOUBLE = re.compile(r"([^\W\d_])\1")
@@ -64,11 +67,14 @@ _CLASS[128:] = 27 + (np.arange(128, 256) & 63)
 # The language model
 
 
-def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """How often each triple of byte classes occurs in the corpus; runs of boundaries count as one."""
+def corpus_counts(docs: DataFrame, text_col: str, pieces: Iterable[str] = ()) -> tuple[np.ndarray, dict[str, int], int]:
+    """How often each triple of byte classes occurs in the corpus (runs of boundaries count as one), how often each of some tokens, and the number of all tokens."""
+    names = sorted(pieces)
+    number = {t: k for k, t in enumerate(names)}
+    size = CLASSES**3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(CLASSES**3, dtype=np.int64)
+        sums, every, total = np.zeros(size, dtype=np.int64), [0] * len(names), 0
         for b in batches:
             for _, part in slices(b.column(0)):
                 data, offsets = buffers(part)
@@ -76,14 +82,21 @@ def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
                 x = np.append(x, [0, 0])
                 x = x[np.append(True, (x[1:] != 0) | (x[:-1] != 0))]
                 if len(x) > 2:
-                    sums += np.bincount((x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:], minlength=len(sums))
-        found = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], ["code", "n"])
+                    sums += np.bincount((x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:], minlength=size)
+            if number:
+                for text in b.column(0).to_pylist():
+                    tokens = (text or "").lower().split()
+                    total += len(tokens)
+                    for t in filter(number.__contains__, tokens):
+                        every[number[t]] += 1
+        counts = np.concatenate([sums, np.array([*every, total], dtype=np.int64)])
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["code", "n"])
 
     got = docs.select(quoted(text_col).alias("text")).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(CLASSES**3, dtype=np.int64)
+    out = np.zeros(size + len(names) + 1, dtype=np.int64)
     out[got["code"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
-    return out
+    return out[:size], dict(zip(names, out[size:-1].tolist())), int(out[-1])
 
 
 def log_odds_table(counts: np.ndarray) -> np.ndarray:
@@ -218,13 +231,29 @@ def skeletons(core: str) -> set[str]:
 
 
 class Pieces:
-    """Finds tokens that follow each other and make a word of the lexicon together."""
+    """Finds tokens that follow each other and make a word of the lexicon together.
 
-    def __init__(self, words: Iterable[str]) -> None:
+    counts: of the words of the lexicon and the parts of these, as tokens of the corpus; total: of all tokens.
+    """
+
+    def __init__(self, words: Iterable[str], counts: dict[str, int], total: int) -> None:
         self.whole = {x for w in words for x in skeletons(w)} - {""}
-        self.begins = {x[:k] for x in self.whole for k in range(1, len(x))} | {x for x in self.whole if any(y != x and y.startswith(x) for y in self.whole)}
+        self.begins = {x[:k] for x in self.whole for k in range(1, len(x))}
+        self.pairs: dict[str, bool] = {}
+        self.two = {x[:2] for x in self.begins}
+        self.counts, self.total = counts, total
         self.known: dict[str, tuple[str, set[str], bool, bool]] = {}
 
+    @staticmethod
+    def parts(words: Iterable[str]) -> set[str]:
+        """The words and all that they can be cut into."""
+        return {w[a:z] for w in words for a in range(len(w)) for z in range(a + 1, len(w) + 1)}
+
+    def likely(self, word: str, run: list[str]) -> bool:
+        """Whether it is likelier that the word was cut than that its pieces stand there as words."""
+        log = lambda t: math.log(self.counts.get(t, 0) + 0.5)
+        return log(word) - sum(map(log, run)) + (len(run) - 1) * (math.log(self.total + 1) - CUT) > 0
+
     def token(self, t: str) -> tuple[str, set[str], bool, bool]:
         """Its core, the skeletons of that, whether it may go on a word, and whether the next token may go on with it."""
         got = self.known.get(t)
@@ -236,6 +265,14 @@ class Pieces:
         return got
 
     def begin(self, t: str) -> bool:
+        """Whether a token may be the first piece."""
+        two = t[:2]
+        may = self.pairs.get(two)
+        if may is None:  # most tokens go by their first two letters
+            plain = len(two) == 2 and two.isalpha() and two[0] != two[1]
+            may = self.pairs[two] = not plain or two.translate(_MERGED) in self.two
+        if not may:
+            return False
         core, bare, _, on = self.token(t)
         return bool(core) and on and not bare.isdisjoint(self.begins)
 
@@ -328,13 +365,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labelled
 def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labelled: int, toxic: str, score: str, found: str, **label_columns: str) -> DataFrame:
     spark = docs.sparkSession
     weights, threshold = fit(docs, labels, id_col, text_col, labelled, **label_columns)
-    model = spark.sparkContext.broadcast((Decoder(log_odds_table(trigram_counts(docs, text_col))), weights, threshold))
+    trigrams, counts, total = corpus_counts(docs, text_col, Pieces.parts(weights))
+    model = spark.sparkContext.broadcast((Decoder(log_odds_table(trigrams)), weights, threshold, Pieces(weights, counts, total)))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, weights, threshold = model.value
+        decoder, weights, threshold, pieces = model.value
         kept: dict[str, tuple[str, ...]] = {}
-        pieces = Pieces(weights)
         first: dict[str, bool] = {}
         for b in batches:
             flags, scores, lists = [], [], []
@@ -355,10 +392,12 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
                             words.update(got)
                         if first[t]:
                             begin.add(t)
-                    for t in [*runs_alone(order), *(pieces.spans(order, begin) if begin else ())]:
+                    for t in runs_alone(order):
                         words.update(w for w in LETTERS.findall(decoder.restore(t)) if w in weights)
-                        if _LOOK_SYMBOL.search(t):
-                            words.update(w for w in LETTERS.findall(decoder.restore(t, strict=True)) if w in weights)
+                    for t in pieces.spans(order, begin) if begin else ():
+                        run, whole = t.split(" "), t.replace(" ", "")
+                        reads = {*LETTERS.findall(decoder.restore(whole)), *(LETTERS.findall(decoder.restore(whole, strict=True)) if _LOOK_SYMBOL.search(t) else ())}
+                        words.update(w for w in reads if w in weights and pieces.likely(w, run))
                 s = sum(weights[w] for w in sorted(words))
                 scores.append(round(s, 6))
                 flags.append(bool(words) and s >= threshold)

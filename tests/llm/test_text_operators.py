@@ -356,7 +356,7 @@ def test_toxicity_of_words_in_pieces(spark):
     words = {"id iot": "idiot", "sc u m": "scum", "s cum": "scum", "sc um.": "scum", "path etic": "pathetic", "worth less": "worthless", "(worth less)": "worthless", "id 10t": "idiot", "1d iot": "idiot", "$c um": "scum", "pa the t1c": "pathetic", "id - iot": "idiot", "id ioooot": "idiot", "SC UM": "scum", "scu, m": None, "sc. um": None}
     got = found_in(spark, [f"the tree is {x} of the river" for x in words])
     assert got == {k: {w} for k, w in enumerate(words.values()) if w}
-    calm = ["the path et tic", "so me tree", "the worth of less", "a sc of the um"]
+    calm = ["the path and etic", "so me tree", "the worth of less", "a sc of the um"] + ["worth less"] * 200  # words of their own, which are often there
     assert found_in(spark, [f"the river {x} and green" for x in calm]) == {}
 
 
