@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField
 
-from quillon.llm.common import free, map_rows, quoted, shared_dir, written
+from quillon.llm.common import free, map_rows, quoted, removed_at_exit, written
+from quillon.sources.storage import shared_dir
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
@@ -195,5 +196,7 @@ def read(index: DataFrame, folder: str, content_col: str = "html") -> DataFrame:
 
 
 def bundled(pages: DataFrame) -> DataFrame:
-    """The index of bundles in a new folder of the shared one."""
-    return write(pages, f"{shared_dir(pages.sparkSession)}/quillon/bundles-{uuid.uuid4().hex}")
+    """The index of bundles in a new folder of the shared one, which goes when the driver ends."""
+    folder = f"{shared_dir(pages.sparkSession)}/quillon/bundles-{uuid.uuid4().hex}"
+    removed_at_exit(pages.sparkSession, folder)
+    return write(pages, folder)
