@@ -33,6 +33,11 @@ def has(text: Column | str, needle_lower: str) -> Column:
     return F.contains(fold(text), F.lit(needle_lower))
 
 
+def may_have(text: Column | str, needle_lower: str) -> Column:
+    """True where ``has`` is, and a little more often: letters beyond ASCII count in either case. Much faster over long texts."""
+    return F.contains(F.lower(col(text)), F.lit(needle_lower))
+
+
 def byte_offset(text: Column, char: Column) -> Column:
     """Bytes before a character position counted from 1."""
     return F.octet_length(F.substring(text, F.lit(1), char - 1))

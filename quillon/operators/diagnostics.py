@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import paths
-from quillon.operators import search, trigrams
+from quillon.operators import search, semantic, trigrams
 
 
 def index_stats(files: DataFrame, postings: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
@@ -79,17 +80,59 @@ def self_tests(engine: search.Engine) -> DataFrame:
     def regex() -> bool:
         return engine.regex(r"\w+", 10).count() > 0 or engine.files.limit(1).count() == 0
 
+    tests = {"random_file_search": random_file, "content_sample_search": content_sample, "index_integrity": integrity, "trigram_index": trigram_index, "regex_search": regex}
+    return _run(engine.files.sparkSession, tests)
+
+
+def _run(spark: SparkSession, tests: dict[str, Callable[[], bool]]) -> DataFrame:
     out = []
-    for name, test in (("random_file_search", random_file), ("content_sample_search", content_sample), ("index_integrity", integrity), ("trigram_index", trigram_index), ("regex_search", regex)):
+    for name, test in tests.items():
         began, message = time.time(), ""
         try:
-            passed = test()
+            passed = bool(test())
         except Exception as e:  # noqa: BLE001 - a failed check is a result
             passed, message = False, str(e)[:200]
         out.append((name, passed, int((time.time() - began) * 1000), message))
-    return engine.files.sparkSession.createDataFrame(out, "name string, passed boolean, duration_ms bigint, message string")
+    return spark.createDataFrame(out, "name string, passed boolean, duration_ms bigint, message string")
+
+
+def semantic_tests(indexed: DataFrame) -> DataFrame:
+    """The same for an index of chunks: encoder, vectors, ids, a search for a chunk's own text, places of chunks."""
+
+    def encoder() -> bool:
+        v = semantic.encode("search for some words")
+        return len(v) == semantic.DIM and abs(sum(x * x for x in v) - 1) < 1e-6
+
+    def vectors() -> bool:
+        length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+        wrong = (F.size("embedding") != semantic.DIM) | ((F.abs(length - 1) > 1e-3) & (length != 0))
+        return indexed.filter(F.coalesce(wrong, F.lit(True))).limit(1).count() == 0
+
+    def ids() -> bool:
+        r = indexed.agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("d")).first()
+        return r["n"] == r["d"]
+
+    def own_text() -> bool:
+        row = indexed.orderBy(F.xxhash64("chunk_id"), "chunk_id").select("text", "embedding").first()
+        if row is None or not any(row["embedding"]):
+            return True
+        return semantic.search(indexed, row["text"], 1).first()["similarity"] > 0.999
+
+    def places() -> bool:
+        return indexed.filter("start_line < 1 or end_line < start_line").limit(1).count() == 0
+
+    return _run(indexed.sparkSession, {"encoder": encoder, "vectors": vectors, "chunk_ids": ids, "own_text_search": own_text, "chunk_places": places})
 
 
 def diagnostics(engine: search.Engine) -> dict[str, DataFrame]:
     tests = self_tests(engine)
     return {"stats": index_stats(engine.files, engine.postings, engine.edges), "extensions": extension_breakdown(engine.files), "tests": tests, "summary": summary(tests)}
+
+
+def status(engine: search.Engine, indexed: DataFrame | None = None) -> DataFrame:
+    """One row: what ``index_stats`` has, the health of the self-tests, and of the chunks, if there are any, their number and health."""
+    out = index_stats(engine.files, engine.postings, engine.edges).crossJoin(summary(self_tests(engine)).select("health"))  # of one row each
+    if indexed is not None:
+        chunks = semantic.stats(indexed).select("num_chunks", F.col("num_files").alias("files_with_chunks"), "dim")
+        out = out.crossJoin(chunks).crossJoin(summary(semantic_tests(indexed)).select(F.col("health").alias("semantic_health")))
+    return out

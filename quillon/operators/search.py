@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import paths, regexes, text
+from quillon.functions.rows import once
 from quillon.operators import trigrams
 
 PER_FILE = 100
@@ -97,6 +98,8 @@ class Engine:
     first_line_boost: bool = True
     fast_files: int = FAST_FILES
     auto_fast: int = AUTO_FAST
+    #: ``file_scores``, where they are stored.
+    meta: DataFrame | None = None
 
     # Which files
 
@@ -116,7 +119,10 @@ class Engine:
             mode = RankMode.FAST if many else RankMode.FULL
         if mode is RankMode.FULL:
             return files, "full"
-        meta = file_scores(files.select("file_id", "path"), self.symbols, self.edges)
+        if self.meta is not None:
+            meta = self.meta.join(files.select("file_id"), "file_id", "left_semi")
+        else:
+            meta = file_scores(files.select("file_id", "path"), self.symbols, self.edges)
         score = F.col("base_score") * (F.when(F.contains("stem_lower", F.lit(query_lower)), 5.0).otherwise(1.0) if query_lower else F.lit(1.0))
         best = meta.select("file_id", score.alias("score")).orderBy(F.desc("score"), "file_id").limit(self.fast_files).select("file_id")
         return files.join(best, "file_id", "left_semi"), "fast"
@@ -153,7 +159,7 @@ class Engine:
         score that are the query's; stem_match: of the file's stem; path_place: from a text to (start, end) of the match.
         """
         numbered = F.transform(text.lines("content"), lambda x, i: F.struct(i.alias("i"), x.alias("line")))
-        found = self.known(files).withColumn("found", F.slice(F.filter(numbered, lambda s: match(s["line"])), 1, PER_FILE))
+        found = once(self.known(files), found=F.slice(F.filter(numbered, lambda s: match(s["line"])), 1, PER_FILE))
         found = found.withColumn("named", stem_match(paths.stem("path")) & (F.size("found") == 0)).filter((F.size("found") > 0) | F.col("named"))
         entries = F.when(F.col("named"), F.array(F.struct(F.lit(-1).alias("i"), F.col("file_path").alias("line")))).otherwise(F.col("found"))
         rows = found.withColumn("entry", F.explode(entries)).select("*", "entry.i", "entry.line")
@@ -169,11 +175,11 @@ class Engine:
 
     @staticmethod
     def _shown(matches: DataFrame, most: int) -> DataFrame:
-        """The best, cut to a window where lines are long."""
+        """The best, cut to a window where lines are long: only these are cut."""
         best = matches.orderBy(F.desc("score"), "file_id", "line_number", "start").limit(most)
         whole = F.struct(F.col("line").alias("content"), F.col("start").cast("int").alias("match_start"), F.col("end").cast("int").alias("match_end"), F.lit(False).alias("content_truncated"))
         cut = F.when(F.col("named"), whole).otherwise(text.around_match(F.col("line"), F.col("start"), F.col("end")))
-        return best.withColumn("cut", cut).select("*", "cut.*").select(*RESULT).orderBy(F.desc("score"), "file_id", "line_number", "match_start")
+        return once(best, cut=cut).select("*", "cut.*").select(*RESULT).orderBy(F.desc("score"), "file_id", "line_number", "match_start")
 
     def _none(self) -> DataFrame:
         kind = "file_id bigint, file_path string, line_number int, content string, match_start int, match_end int, content_truncated boolean, score double, is_symbol boolean, dependency_count int"
@@ -189,7 +195,7 @@ class Engine:
 
         place = lambda t: (text.match_start(t, low), text.match_start(t, low) + n)
         # Files without the text in content or stem have nothing to split.
-        some = files.filter(text.has("content", low) | text.has(paths.stem("path"), low))
+        some = files.filter(text.may_have("content", low) | text.has(paths.stem("path"), low))
         return self._line_matches(some, lambda x: text.has(x, low), lambda x: text.has(x, low), factor, lambda s: text.has(s, low), place)
 
     def text(self, query: str, most: int = 50, include: str | Sequence[str] | None = None, exclude: str | Sequence[str] | None = None, mode: RankMode = RankMode.FULL) -> DataFrame:

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+import uuid
+from collections import OrderedDict
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import text
+from quillon.sources import storage
 
 SIZE, OVERLAP, DIM = 50, 5, 128
 MOST_RESULTS, MOST_BYTES = 100, 1_000_000
+VERSION, DIGITS = 1, 6
 _SPLIT = regex.compile(r"[^\p{Alphabetic}\p{N}]+")
 
 
@@ -51,52 +57,125 @@ def chunks(files: DataFrame, symbols: DataFrame | None = None, size: int = SIZE,
     return chunks_by_symbol(files, real, size).unionByName(chunks_by_size(plain, size, overlap))
 
 
+class Buckets:
+    """Words per bucket of a text. A word's bucket is the sum of its bytes; words are remembered."""
+
+    def __init__(self, dim: int = DIM) -> None:
+        self.dim, self.known = dim, {}
+
+    def of(self, text: str) -> np.ndarray:
+        known, found = self.known, []
+        if len(known) > 500_000:
+            known.clear()
+        for w in _SPLIT.split(text.lower()):
+            k = known.get(w)
+            if k is None:
+                b = w.encode()
+                k = known[w] = sum(b) % self.dim if len(b) > 2 else -1
+            if k >= 0:
+                found.append(k)
+        return np.bincount(np.array(found, dtype=np.int64), minlength=self.dim)
+
+    def vector(self, text: str) -> np.ndarray:
+        out = self.of(text).astype(np.float64)
+        norm = np.sqrt((out * out).sum())
+        return out / norm if norm else out
+
+
 def encode(query: str, dim: int = DIM) -> list[float]:
     """The vector of a text: words per bucket, scaled to length 1."""
-    out = np.zeros(dim)
-    for w in _SPLIT.split(query.lower()):
-        b = w.encode()
-        if len(b) > 2:
-            out[sum(b) % dim] += 1
-    norm = np.sqrt((out * out).sum())
-    return (out / norm if norm else out).tolist()
+    return Buckets(dim).vector(query).tolist()
 
 
-def embedded(rows: DataFrame, text_col: str = "text", encoder: Callable[[str], Sequence[float]] = encode) -> DataFrame:
+def embedded(rows: DataFrame, text_col: str = "text", encoder: Callable[[str], Sequence[float]] | None = None, dim: int = DIM) -> DataFrame:
     """``rows`` with an embedding. Any function from a text to a vector can stand in for the hashed one."""
 
     @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [float(x) for x in encoder(t or "")])
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = encoder or Buckets(dim).vector
+        for s in parts:
+            yield s.map(lambda t: np.asarray(one(t or ""), dtype=np.float32))
 
     return rows.withColumn("embedding", run(F.col(text_col)))
 
 
 def bucket_counts(rows: DataFrame, id_col: str, text_col: str, dim: int = DIM) -> DataFrame:
-    """(id, bucket, n): the same vectors as rows, before scaling, without Python."""
-    words = rows.select(F.col(id_col), F.explode(text.tokens(text_col)).alias("w"))
-    return words.groupBy(id_col, text.bucket("w", dim).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    """(id, bucket, n): the same vectors as rows, before scaling."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Buckets(dim)
+        for b in batches:
+            counts = np.array([buckets.of(t or "") for t in b.column(1).to_pylist()]).reshape(-1, dim)
+            row, bucket = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(bucket.astype(np.int32)), pa.array(counts[row, bucket])], [id_col, "bucket", "n"])
+
+    return rows.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, bucket int, n bigint")
 
 
-def nearest(vectors: DataFrame, query: Sequence[float], k: int, vec_col: str = "embedding", tie: str = "chunk_id") -> DataFrame:
-    """The k rows nearest to a vector by cosine, exactly: one scan and a top-k."""
+def nearest(vectors: DataFrame, query: Sequence[float], k: int, vec_col: str = "embedding", tie: Sequence[str] = ("chunk_id",)) -> DataFrame:
+    """The k rows nearest to a vector by cosine, exactly: one scan and a top-k. Similarities are rounded, so that their order doesn't depend on the order of additions."""
     literal = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.withColumn("similarity", text.cosine(vec_col, literal)).orderBy(F.desc("similarity"), tie).limit(k)
+    return vectors.withColumn("similarity", F.round(text.cosine(vec_col, literal), DIGITS)).orderBy(F.desc("similarity"), *tie).limit(k)
 
 
-def index(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+def index(files: DataFrame, symbols: DataFrame | None = None, encoder: Callable[[str], Sequence[float]] | None = None) -> DataFrame:
     """The chunks with ids and vectors of all files that aren't too large."""
     small = files.filter(F.octet_length("content") <= MOST_BYTES)
     cut = chunks(small, symbols)
-    # An id that is the same in each run: of the file and the place in it.
-    return embedded(cut.withColumn("chunk_id", F.col("file_id") * 1_000_000 + F.col("chunk_no")))
+    # An id that is the same in each run: of the file and the place in it, whatever the size of the file's id.
+    return embedded(cut.withColumn("chunk_id", F.xxhash64("file_id", "chunk_no").bitwiseAND((1 << 62) - 1)), encoder=encoder)
+
+
+def save(indexed: DataFrame, folder: str, model: str = "hashed", dim: int = DIM) -> None:
+    """Writes an index of chunks as a new version; the manifest comes last."""
+    version = f"s-{uuid.uuid4().hex}"
+    indexed.write.parquet(f"{folder}/{version}")
+    storage.write_text(indexed.sparkSession, f"{folder}/semantic.json", json.dumps({"version": VERSION, "model": model, "dim": dim, "chunks": version}))
+
+
+def load(spark: SparkSession, folder: str, model: str = "hashed") -> DataFrame:
+    """A stored index of chunks; ValueError where its vectors are of another model or version."""
+    known = json.loads(spark.read.text(f"{folder}/semantic.json", wholetext=True).first()[0])
+    if (known["version"], known["model"]) != (VERSION, model):
+        raise ValueError(f"the chunks are of version {known['version']} and model {known['model']}")
+    return spark.read.parquet(f"{folder}/{known['chunks']}")
+
+
+def reload(spark: SparkSession, folder: str, files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """Builds and stores the chunks of some files anew, and returns them. Who reads the old ones still can."""
+    save(index(files, symbols), folder)
+    return load(spark, folder)
 
 
 def search(indexed: DataFrame, query: str, most: int = 20) -> DataFrame:
     """The chunks nearest to a text."""
     if not query.strip():
         return indexed.withColumn("similarity", F.lit(0.0)).limit(0)
-    return nearest(indexed, encode(query), max(1, min(most, MOST_RESULTS)))
+    return nearest(indexed, encode(query), max(1, min(most, MOST_RESULTS)), tie=("file_id", "chunk_no"))
+
+
+class Cache:
+    """The results of the last queries, by query and number of results; the least recently used one goes first."""
+
+    def __init__(self, indexed: DataFrame, capacity: int = 100) -> None:
+        self.indexed, self.capacity, self.hits, self.misses = indexed, capacity, 0, 0
+        self.rows: OrderedDict[tuple[str, int], list[Row]] = OrderedDict()
+
+    def search(self, query: str, most: int = 20) -> list[Row]:
+        key = (query.strip(), most)
+        if key in self.rows:
+            self.hits += 1
+            self.rows.move_to_end(key)
+        else:
+            self.misses += 1
+            self.rows[key] = search(self.indexed, query, most).drop("embedding").collect()  # at most MOST_RESULTS rows
+            if len(self.rows) > self.capacity:
+                self.rows.popitem(last=False)
+        return self.rows[key]
+
+    def stats(self) -> dict[str, float]:
+        asked = self.hits + self.misses
+        return {"size": len(self.rows), "capacity": self.capacity, "hits": self.hits, "misses": self.misses, "hit_rate": self.hits / asked if asked else 0.0}
 
 
 def stats(indexed: DataFrame) -> DataFrame:

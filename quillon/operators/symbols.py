@@ -1,12 +1,14 @@
-"""Symbols and imports of source files, by patterns of lines for each language.
+"""Symbols and imports of source files, by patterns of lines for each language; Python by its own parser, where a file can be parsed.
 
-There is no full parser here: a definition is found where its line looks like one, which holds for code that is laid out as
-usual. Lines within block comments and multi-line strings are blanked first.
+For the others there is no full parser here: a definition is found where its line looks like one, which holds for code that is laid out as
+usual. Languages of data and markup (JSON, TOML, YAML, HTML, CSS, Markdown) have no definitions. Lines within block comments and multi-line strings are blanked first.
 """
 
 from __future__ import annotations
 
+import ast
 import re
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -88,7 +90,7 @@ RULES: dict[str, list[tuple[str, re.Pattern[str]]]] = {
     "sh": _rules(("Function", rf"^\s*function\s+{_ID}"), ("Function", rf"^\s*{_ID}\s*\(\)")),
 }
 LANGUAGES = {
-    **{x: x for x in RULES}, "jsx": "js", "mjs": "js", "cjs": "js", "tsx": "ts", "h": "c", "hpp": "cpp", "cc": "cpp", "cxx": "cpp", "hxx": "cpp", "pyw": "py", "pyi": "py", "bash": "sh",
+    **{x: x for x in RULES}, "jsx": "js", "mjs": "js", "cjs": "js", "tsx": "ts", "h": "c", "hpp": "cpp", "cc": "cpp", "cxx": "cpp", "hxx": "cpp", "hh": "cpp", "mts": "ts", "cts": "ts", "pyw": "py", "pyi": "py", "rake": "rb", "gemspec": "rb", "bash": "sh", "zsh": "sh",
 }
 _BLOCKS = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _STRINGS = re.compile(r"\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)", re.S)
@@ -109,11 +111,25 @@ def _blanked(content: str, language: str) -> str:
     return content if language in ("rb", "sh") else _BLOCKS.sub(blank, content)
 
 
+def _python(content: str) -> list[tuple[str, str, int, int]] | None:
+    """The definitions of a Python file by its own parser; null where it can't be parsed."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse(content)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+    kinds = {ast.FunctionDef: "Function", ast.AsyncFunctionDef: "Function", ast.ClassDef: "Class"}
+    return sorted(((n.name, kinds[type(n)], n.lineno - 1, n.col_offset) for n in ast.walk(tree) if type(n) in kinds), key=lambda x: x[2:])
+
+
 def symbols(content: str, extension: str) -> list[tuple[str, str, int, int]]:
     """(name, type, line, column) of the definitions of a file, in order of line."""
     language = LANGUAGES.get(extension.lower())
     if language is None:
         return []
+    if language == "py" and (found := _python(content)) is not None:
+        return found
     out, comment = [], _COMMENT.get(language, "//")
     for i, line in enumerate(_blanked(content, language).split("\n")):
         if line.lstrip().startswith(comment):

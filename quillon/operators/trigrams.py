@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import paths
@@ -47,8 +48,26 @@ def frequencies(posts: DataFrame) -> DataFrame:
     return posts.groupBy("trigram").agg(F.count("*").alias("df"))
 
 
-def bitmaps(posts: DataFrame) -> DataFrame:
-    """(trigram, bucket, bitmap, df): a bitmap of the ids of each range of ids."""
+def dense(ids: DataFrame, share: int = 1 << 20) -> DataFrame:
+    """(file_id, number): the different ids numbered from 1 without gaps, for bitmaps (number 0 would have a bucket of its own).
+
+    Ids are numbered within shares of about a million by hash; only the sizes of the shares go to the driver.
+    """
+    ids = ids.select("file_id").distinct()
+    parts = max(1, -(-ids.count() // share))
+    ids = ids.withColumn("part", F.pmod(F.xxhash64("file_id"), F.lit(parts)))
+    sizes, first = {r["part"]: r["count"] for r in ids.groupBy("part").count().collect()}, [0]
+    for k in range(parts):
+        first.append(first[-1] + sizes.get(k, 0))
+    offsets = ids.sparkSession.createDataFrame(list(enumerate(first[:-1])), "part bigint, first bigint")
+    place = F.row_number().over(W.partitionBy("part").orderBy("file_id")) - 1
+    return ids.withColumn("place", place).join(F.broadcast(offsets), "part").select("file_id", (F.col("first") + F.col("place") + 1).alias("number"))
+
+
+def bitmaps(posts: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """(trigram, bucket, bitmap, df): a bitmap of the ids of each range of ids. numbers (``dense``): of ids that are spread out, such as hashes."""
+    if numbers is not None:
+        posts = posts.join(numbers, "file_id").select("trigram", F.col("number").alias("file_id"))
     grouped = posts.groupBy("trigram", F.bitmap_bucket_number("file_id").alias("bucket"))
     return grouped.agg(F.bitmap_construct_agg(F.bitmap_bit_position("file_id")).alias("bitmap"), F.count("*").alias("df"))
 

@@ -92,8 +92,8 @@ def decoded(raw: bytes) -> tuple[str, str] | None:
     return None
 
 
-def prepared(raw: DataFrame, transcode: bool = True) -> DataFrame:
-    """(path, content, encoding, reason): the text of each file, or the reason why it has none."""
+def prepared(raw: DataFrame, transcode: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """(path, content, encoding, reason), and columns to keep: the text of each file, or the reason why it has none."""
 
     def one(data: bytes) -> tuple[str | None, str | None, str | None]:
         got = decoded(data)
@@ -107,9 +107,11 @@ def prepared(raw: DataFrame, transcode: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [one(x or b"") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([m[i] for m in made], pa.string()) for i in range(3)]], ["path", "content", "encoding", "reason"])
+            kept = [b.column(2 + i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([m[i] for m in made], pa.string()) for i in range(3)], *kept], ["path", "content", "encoding", "reason", *keep])
 
-    return raw.select("path", "content").mapInArrow(run, "path string, content string, encoding string, reason string")
+    kinds = "".join(f", `{c}` {raw.schema[c].dataType.simpleString()}" for c in keep)
+    return raw.select("path", "content", *keep).mapInArrow(run, "path string, content string, encoding string, reason string" + kinds)
 
 
 def gate(files: DataFrame, text_col: str = "content") -> DataFrame:

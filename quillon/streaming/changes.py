@@ -2,7 +2,10 @@
 
 A stream of changes (path, op, ts, seq, content) is appended to a log in Parquet, a folder for each batch that a repeated
 batch overwrites, so each change is there once. The current files are a view: the base less what the log changed, plus the
-last state of each path. Compaction writes the view as the next base.
+last state of each path. Compaction writes the view as the next base; ``index.update`` takes a log into a stored index.
+
+``watched`` is a stream of files that appear. Files that change or go away leave no trace in such a stream, so ``Watcher`` compares the listing
+of each batch with that of the batch before.
 """
 
 from __future__ import annotations
@@ -11,20 +14,78 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from quillon.functions import paths
 from quillon.operators import index
+from quillon.sources import files as sources
 
 CHANGE = "path string, op string, ts timestamp, seq bigint, content string"
 
 
+def _texts(raw: DataFrame) -> DataFrame:
+    """Files with modificationTime and content as changes. A file that has no readable text counts as one that isn't there."""
+    text = sources.prepared(raw, keep=["modificationTime"])
+    op = F.when(F.col("reason").isNull(), "modified").otherwise("deleted")
+    return text.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), op.alias("op"), F.col("modificationTime").alias("ts"), F.unix_micros("modificationTime").alias("seq"), "content")
+
+
 def watched(spark: SparkSession, folder: str, exclude: Sequence[str] = (), per_trigger: int = 500) -> DataFrame:
-    """Files of a folder as they appear, as changes. How many are taken at once bounds a batch."""
+    """Files of a folder as they appear, as changes, in any character set that ``sources`` reads. How many are taken at once bounds a batch."""
     raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger).schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
-    kept = raw.filter(~paths.watched_out("path", exclude) & ~paths.has_binary_extension("path"))
-    text = F.when(F.is_valid_utf8(F.decode("content", "UTF-8")), F.decode("content", "UTF-8"))
-    return kept.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.lit("modified").alias("op"), F.col("modificationTime").alias("ts"), F.unix_micros("modificationTime").alias("seq"), text.alias("content"))
+    return _texts(raw.filter(~paths.watched_out("path", exclude) & ~paths.has_binary_extension("path")))
+
+
+class Watcher:
+    """New, changed and removed files under some folders, batch by batch.
+
+    state: a folder for the listings. That of a batch is written when its changes are in the log, and read by the next one, so a batch that is
+    run again finds the same changes.
+    """
+
+    def __init__(self, spark: SparkSession, roots: Sequence[str], log: str, state: str, exclude: Sequence[str] = ()) -> None:
+        self.spark, self.roots, self.log, self.state, self.exclude = spark, list(roots), log, state, exclude
+
+    def _raw(self) -> DataFrame:
+        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.roots)
+        return raw.filter((F.col("length") <= sources.MOST_BYTES) & ~paths.watched_out("path", self.exclude) & ~paths.has_binary_extension("path"))
+
+    def changes(self, number: int) -> tuple[DataFrame, DataFrame]:
+        """The changes since the listing of the last batch before ``number``, and the listing as it is now. Contents are read of new and changed files only."""
+        now = self._raw().select("path", F.unix_micros("modificationTime").alias("mtime"), F.col("length").alias("size"))
+        now.write.mode("overwrite").parquet(f"{self.state}/next")
+        now = self.spark.read.parquet(f"{self.state}/next")
+        before = self.spark.read.schema("path string, mtime bigint, size bigint, batch bigint").parquet(self.state + "/listings") if self._known() else None
+        if before is not None:
+            earlier = before.filter(F.col("batch") < number)
+            last = earlier.agg(F.max("batch")).first()[0]
+            before = earlier.filter(F.col("batch") == last).drop("batch") if last is not None else None
+        if before is None:
+            before = now.limit(0)
+        status = index.reconcile(before.withColumn("source_base_path", F.lit("")), now).filter("status <> 'Valid'")
+        fresh = status.filter("status in ('New', 'Stale')").select("path")
+        since = now.join(fresh, "path", "left_semi").agg(F.min("mtime")).first()[0]
+        # Files older than all that changed aren't opened: the scan knows their times.
+        raw = self._raw().filter(F.col("modificationTime") >= F.timestamp_micros(F.lit(since))) if since is not None else self._raw().limit(0)
+        gone = status.filter("status = 'Removed'").select(
+            F.regexp_replace("path", "^file:/+", "/").alias("path"), F.lit("deleted").alias("op"), F.current_timestamp().alias("ts"), F.unix_micros(F.current_timestamp()).alias("seq"), F.lit(None).cast("string").alias("content")
+        )
+        return _texts(raw.join(fresh, "path", "left_semi")).unionByName(gone), now
+
+    def _known(self) -> bool:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.state}/listings")
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+    def batch(self, number: int) -> None:
+        """Writes the changes into the log. A later batch's change counts, whatever the clocks of files say."""
+        found, now = self.changes(number)
+        found.withColumn("seq", F.lit(number).cast("bigint")).withColumn("ts", F.timestamp_seconds(F.lit(number))).write.mode("overwrite").parquet(f"{self.log}/batch={number}")
+        now.write.mode("overwrite").parquet(f"{self.state}/listings/batch={number}")
+
+    def start(self, checkpoint: str, every: str) -> StreamingQuery:
+        """A stream that looks every so often."""
+        ticks = self.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+        return ticks.writeStream.foreachBatch(lambda _, number: self.batch(number)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def log_stream(spark: SparkSession, folder: str, per_trigger: int = 100) -> DataFrame:

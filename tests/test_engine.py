@@ -1,8 +1,10 @@
 """Search, trigrams, symbols, imports, semantic search, the index and its upkeep, on small corpora of source files."""
 
 import math
+import os
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,7 +149,11 @@ SOURCES = {
     "rb": ("module M\n  class C\n    def self.go?\n    end\n  end\nend", {"M": "Class", "C": "Class", "go?": "Method"}),
     "php": ("<?php\ninterface I {}\nclass C {\n  public function go() {}\n}\nfunction f() {}\ntrait T {}", {"I": "Interface", "C": "Class", "go": "Method", "f": "Function", "T": "Trait"}),
     "sh": ("function a {\n}\nb() {\n}", {"a": "Function", "b": "Function"}),
-    "py": ("async def f():\n    pass\nclass C:\n    def m(self): ...", {"f": "Function", "C": "Class", "m": "Function"}),
+    "py": ("async def f():\n    pass\nclass C:\n    @property\n    def m(self): ...\nx = \"\"\"\ndef no(): ...\n\"\"\"", {"f": "Function", "C": "Class", "m": "Function"}),
+    "pyi": ("def f(:\nclass C:\n    def m(self): ...", {"f": "Function", "C": "Class", "m": "Function"}),
+    "gemspec": ("def a\nend", {"a": "Method"}),
+    "mts": ("export class C {}", {"C": "Class"}),
+    "json": ('{"def": 1}', {}),
     "txt": ("def f(): pass", {}),
 }
 
@@ -264,7 +270,100 @@ def test_sources(spark, tmp_path):
     assert sources.without(raw, [f"{tmp_path}/a.txt"]).count() == raw.count() - 1
     stream = changes.watched(spark, str(tmp_path), ["**/target/**"])
     changes.apply_to_log(stream, f"{tmp_path}-log", f"{tmp_path}-check").start().awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}-log").filter("path like '%l.rs'").first()["content"] == "fn main() {}"
+    log = {r["path"].removeprefix(f"{tmp_path}/"): r for r in spark.read.parquet(f"{tmp_path}-log").collect()}
+    assert log["sub/l.rs"]["content"] == "fn main() {}" and log["c.txt"]["content"] == "größe und maß, viele wörter" and log["i.txt"]["op"] == "deleted"
+
+
+def test_watcher(spark, tmp_path):
+    """New, changed and removed files, character sets, a batch that is run again; the index follows, and files keep their ids."""
+    root, log, state, folder = tmp_path / "root", str(tmp_path / "log"), str(tmp_path / "state"), str(tmp_path / "index")
+    root.mkdir()
+    write = lambda name, data, time: ((root / name).write_bytes(data), os.utime(root / name, (time, time)))
+    write("auth.rs", b"pub fn authenticate() {}", 1000)
+    write("main.rs", b"mod auth;\nfn main() {}", 1000)
+    write("old.txt", b"nothing new here", 1000)
+    watcher = changes.Watcher(spark, [str(root)], log, state, ["skipped"])
+    watcher.batch(0)
+    rows = lambda n: {(r["path"].rpartition("/")[2], r["op"], r["content"]) for r in spark.read.parquet(f"{log}/batch={n}").collect()}
+    assert {x[:2] for x in rows(0)} == {("auth.rs", "modified"), ("main.rs", "modified"), ("old.txt", "modified")}
+    index.save(changes.current(spark.createDataFrame([], "file_id bigint, path string, content string"), log), folder)
+    ids = {r["path"]: r["file_id"] for r in index.load(spark, folder).files.collect()}
+    write("auth.rs", b"pub fn logout() {}", 2000)
+    write("wide.txt", "größe".encode("cp1252"), 500)  # older than what is known
+    write("bad.txt", b"a\x00b", 2000)
+    write("skipped.txt", b"not watched", 2000)
+    (root / "old.txt").unlink()
+    for _ in range(2):
+        watcher.batch(1)
+        assert rows(1) == {("auth.rs", "modified", "pub fn logout() {}"), ("wide.txt", "modified", "größe"), ("bad.txt", "deleted", None), ("old.txt", "deleted", None)}
+    watcher.batch(2)
+    assert rows(2) == set()
+    index.update(spark, folder, spark.read.parquet(f"{log}/batch=1"))
+    for _ in range(2):
+        now = index.load(spark, folder, [str(root)])
+        assert {r["path"].rpartition("/")[2]: r["file_id"] == ids.get(r["path"]) for r in now.files.collect()} == {"auth.rs": True, "main.rs": True, "wide.txt": False}
+        assert now.search("authenticate").count() == 0 and now.search("logout", symbols=True).count() == 1 and now.search("größe").count() == 1
+        assert [r["path"] for r in now.dependents("auth.rs").collect()] == ["root/main.rs"]
+        plain = search.Engine(now.files, now.symbols, now.edges, None, now.roots)
+        assert now.search("fn").collect() == plain.search("fn").collect() and now.search("logout", mode="fast").collect() == plain.search("logout", mode="fast").collect()
+        assert now.postings.join(now.files, "file_id", "left_anti").count() == 0
+        index.compacted(spark, folder)
+    query = changes.Watcher(spark, [str(root)], str(tmp_path / "log2"), str(tmp_path / "state2")).start(str(tmp_path / "check2"), "1 second")
+    while not (query.lastProgress or {}).get("batchId", 0) > 0:
+        assert query.exception() is None
+        time.sleep(0.2)
+    query.stop()
+    assert spark.read.parquet(str(tmp_path / "log2")).filter("op = 'modified'").count() == 4
+
+
+def test_index_of_paths(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def go(): ...")
+    (tmp_path / "b.bin").write_bytes(b"def")
+    engine = index.of_paths(spark, [str(tmp_path)], f"{tmp_path}-index")
+    assert engine.search("go", symbols=True).count() == 1 and engine.files.count() == 1
+
+
+def test_semantic_store(spark, files, tmp_path):
+    folder = str(tmp_path / "chunks")
+    numbered = sources.numbered(files)  # ids as large as those of discovered files
+    semantic.save(semantic.index(numbered), folder)
+    first = semantic.load(spark, folder)
+    assert first.count() == first.select("chunk_id").distinct().count() == len(CORPUS)
+    again = semantic.reload(spark, folder, numbered.limit(3))
+    assert again.count() == 3 and first.count() == len(CORPUS)
+    with pytest.raises(ValueError):
+        semantic.load(spark, folder, "other")
+    cache = semantic.Cache(first, 2)
+    a = cache.search("execute sql")
+    assert cache.search(" execute sql ") is a and len(cache.search("user", 1)) == 1 and cache.search("post") and cache.stats() == {"size": 2, "capacity": 2, "hits": 1, "misses": 3, "hit_rate": 0.25}
+    assert diagnostics.summary(diagnostics.semantic_tests(first)).first()["health"] == "Healthy"
+    wrong = first.withColumn("embedding", F.slice("embedding", 1, 5)).withColumn("start_line", F.lit(0))
+    assert {r["name"] for r in diagnostics.semantic_tests(wrong).filter("not passed").collect()} >= {"vectors", "chunk_places"}
+    status = diagnostics.status(search.Engine(files, postings=trigrams.postings(files)), first).first()
+    assert status["health"] == status["semantic_health"] == "Healthy" and status["num_chunks"] == len(CORPUS)
+    assert {r["chunk_type"]: r["n"] for r in semantic.chunk_types(first).collect()} == {"Fixed": len(CORPUS)}
+
+
+def test_bitmaps_of_spread_ids(spark, files):
+    posts = trigrams.postings(sources.numbered(files)).cache()
+    for share in (1 << 20, 3):
+        numbers = trigrams.dense(posts, share).collect()
+        assert sorted(r["number"] for r in numbers) == list(range(1, len(CORPUS) + 1))
+    maps = trigrams.bitmaps(posts, trigrams.dense(posts))
+    assert maps.count() == posts.select("trigram").distinct().count()
+    assert {(r["trigram"], r["n"]) for r in maps.select("trigram", F.bitmap_count("bitmap").alias("n")).collect()} == {tuple(r) for r in trigrams.frequencies(posts).collect()}
+
+
+def test_plan_of_search(engine, files):
+    """A top-k, no sort of all matches; the lines of a file are split once."""
+    for found in (engine.search("auth"), search.Engine(files).search("auth"), engine.search("fn", regex=True), engine.search("auth", symbols=True)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+    assert plan_of(search.Engine(files).search("auth")).count("split(") <= 3  # both branches of one expression
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_depth_saturates():
