@@ -2,7 +2,7 @@
 
 1. Each line has a hash. A rolling hash over the hashes of a line and of the one before it chooses the chunk boundaries, so
    they move along with the text when lines are put in or taken out elsewhere. Chunks of two lines or more are units that can
-   go. A chunk that begins or ends among other lines, or within one, is another chunk; for this, and for long lines, there are
+   go, and so are whole texts of two lines or more. A chunk that begins or ends among other lines, or within one, is another chunk; for this, and for long lines, there are
    runs: ``RUN`` words in a row, wherever they begin and end. A word is what stands between ASCII white space.
 2. Of the hashes of ``SEED`` words in a row, the lowest of each run (its seed) depends on nothing but the run, so equal runs have
    equal seeds at the same place, wherever they lie. The hashes of units and seeds alone are counted first, no text.
@@ -221,10 +221,9 @@ def cut(text: str | None, t: int, u: int, cuts: list[dict] | None) -> str | None
         return None
     raw = text.encode()
     if any(c["p"] is None for c in cuts):
-        words, gone = [(0, 1 << 60)] if len(raw.split()) >= RUN else [], {k for a, z, _ in units(raw) for k in range(a, z + 1)}
-    else:
-        words = sorted((c["p"], c["z"]) for c in cuts if c["run"])
-        gone = {k for c in cuts if not c["run"] for k in range(c["p"], c["z"] + 1)}
+        return None if b"\n" in raw or len(raw.split()) >= RUN else text
+    words = sorted((c["p"], c["z"]) for c in cuts if c["run"])
+    gone = {k for c in cuts if not c["run"] for k in range(c["p"], c["z"] + 1)}
     out, at, k = [], 0, 0
     for n, line in enumerate(raw.split(b"\n")):
         mine = line.split()
@@ -302,10 +301,11 @@ g as (select doc_id, chunk from u qualify row_number() over (partition by u orde
 d as (select doc_id, regexp_extract_all(text, '{word}') as ws from {table} where text <> ''),
 r as (select doc_id, unnest(list_transform(range(0, len(ws) - {RUN - 1}), lambda i: array_to_string(list_slice(ws, i + 1, i + {RUN}), ' '))) as run, unnest(range(0, len(ws) - {RUN - 1})) as p from d where len(ws) >= {RUN}),
 f as (select doc_id, p, first_value(doc_id) over w as d0, first_value(p) over w as p0 from r window w as (partition by run order by doc_id, p)),
+o as (select doc_id from {table} where contains(text, chr(10)) qualify row_number() over (partition by text order by doc_id) > 1),
 x as (select distinct doc_id, unnest(range(p, p + {RUN})) as j from f where doc_id <> d0 or p >= p0 + {RUN}),
 w as (select doc_id, k, unnest(ws) as word, w0 + generate_subscripts(ws, 1) - 1 as j from c),
 y as (select w.doc_id, k, bool_or(x.j is not null) as hit, string_agg(word, ' ' order by w.j) filter (where x.j is null) as rest from w left join x on x.doc_id = w.doc_id and x.j = w.j group by all),
 z as (select c.doc_id, c.k, case when hit then rest else line end as line from c left join g on g.doc_id = c.doc_id and g.chunk = c.chunk left join y on y.doc_id = c.doc_id and y.k = c.k where g.doc_id is null),
 t as (select doc_id, string_agg(line, chr(10) order by k) as text from z where line is not null group by doc_id
   union all select doc_id, text from {table} where text = '' or text is null)
-select d.doc_id, t.text, d.lang, d.source, length(t.text)::BIGINT as n_chars from t join {table} d using (doc_id) where t.text is null or t.text = d.text or regexp_matches(t.text, '{word}')"""
+select d.doc_id, t.text, d.lang, d.source, length(t.text)::BIGINT as n_chars from t join {table} d using (doc_id) where (t.text is null or t.text = d.text or regexp_matches(t.text, '{word}')) and doc_id not in (select doc_id from o)"""

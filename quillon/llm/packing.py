@@ -1,4 +1,4 @@
-"""Best-fit packing of documents into bins of a fixed number of characters, by matching of the large items.
+"""Best-fit packing of documents into bins of a fixed size (in characters, or in what else ``size`` counts, such as tokens), by matching of the large items.
 
 No bin holds three items above a third of its capacity, so these are matched in pairs: from the largest on, each takes
 the largest one left that fits beside it, or stays alone. The smaller items then go, from the largest on, where the gap
@@ -20,7 +20,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import quoted, written
@@ -106,10 +106,13 @@ def assign(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, begins
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, shard_chars: int = SHARD_CHARS, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """Where the pieces of the documents go: ``doc_id``, ``piece``, ``begin`` and ``size`` in the text, ``bin``, ``place`` in the bin."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, shard_chars: int = SHARD_CHARS, shard_items: int = SHARD_ITEMS, size: Column | None = None) -> DataFrame:
+    """Where the pieces of the documents go: ``doc_id``, ``piece``, ``begin`` and ``size`` in the text, ``bin``, ``place`` in the bin.
+
+    size: of a document, where it isn't the number of characters.
+    """
     text = quoted(text_col)
-    items = written(docs.select(quoted(id_col).alias("i"), F.length(text).alias("n"), F.xxhash64(text).alias("h")).filter("n > 0"), "items")
+    items = written(docs.select(quoted(id_col).alias("i"), F.coalesce((F.length(text) if size is None else size).cast("int"), F.lit(0)).alias("n"), F.xxhash64(text).alias("h")).filter("n > 0"), "items")
     # Full pieces need no packing, so a shard's size is that of what needs it.
     rests = F.col("n") % capacity
     count, chars = items.agg(F.count("*"), F.coalesce(F.sum(rests), F.lit(0))).first()
@@ -143,3 +146,20 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     kind = docs.schema[id_col].dataType.simpleString()
     return sharded.groupBy("s").applyInArrow(run, f"doc_id {kind}, piece int, begin int, size int, bin bigint, place int")
+
+
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: ``bins``, and the share of them that is ``filled``."""
+    return packed.groupBy("bin").agg(F.sum("size").alias("size")).agg(F.count("*").alias("bins"), (F.sum("size") / (F.count("*") * capacity)).alias("filled"))
+
+
+def sequences(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", capacity: int = 2048, shard_chars: int = SHARD_CHARS, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """The packed sequences themselves, of documents with arrays of tokens: ``bin``, ``tokens``, and of each piece the document (``doc_ids``) and where it begins (``starts``).
+
+    Rows get numbers of their own first, so repeated ids do no harm. Each token is shuffled twice, to its number and to its bin.
+    """
+    rows = written(docs.select(quoted(id_col).alias("i"), quoted(tokens_col).alias("x")).filter(F.size("x") > 0).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    placed = pack(rows, "row", "i", capacity, shard_chars, shard_items, F.size("x")).withColumnRenamed("doc_id", "row")
+    pieces = placed.join(rows, "row").select("bin", F.struct("place", "i", F.slice("x", F.col("begin") + 1, F.col("size")).alias("x")).alias("p"))
+    whole = pieces.groupBy("bin").agg(F.sort_array(F.collect_list("p")).alias("p"))  # no more than the capacity
+    return whole.select("bin", F.flatten("p.x").alias("tokens"), F.col("p.i").alias("doc_ids"), F.col("p.place").alias("starts"))

@@ -9,8 +9,9 @@ import pyarrow.fs
 import pytest
 import zstandard
 from helpers import DOCS, clashing, docs, plain, same_as_sql
+from pyspark.sql import functions as F
 
-from quillon.llm import ann, graph, jaccard, linededup, packing, warc
+from quillon.llm import ann, bpe, graph, jaccard, linededup, packing, warc
 
 HARD = [None, "", "\n\n", "x" * 100_000, (7, "tie."), (7, "tie."), (None, "no id."), (None, "no id."), (8, None), "!!! ???"]
 WORDS = [a + b for a in ("ba", "ce", "di", "fo", "gu", "ha", "je", "ki") for b in ("nd", "rt", "ls", "mp", "ck", "st", "tt")]
@@ -37,8 +38,10 @@ def corpus(rng):
 def slow_dedup(rows):
     """The rules by dictionaries of all units and runs. rows: (id, text) with different ids or texts."""
     key = lambda r: (r[0] is None, r[0] or 0)
-    chunks, runs, out = {}, {}, []
+    chunks, runs, whole, out = {}, {}, set(), []
     for i, text in sorted(set(rows), key=key):
+        copy = text in whole and "\n" in (text or "")
+        whole.add(text)
         if not text:
             out.append((i, text))
             continue
@@ -64,7 +67,7 @@ def slow_dedup(rows):
             if k not in gone and (rest or not mine):
                 left.append(line if len(rest) == len(mine) else " ".join(rest))
         new = "\n".join(left)
-        if new == text or new.split():
+        if not copy and (new == text or new.split()):
             out.append((i, new))
     return out
 
@@ -192,6 +195,29 @@ def test_pack(spark):
     assert packing.pack(docs(spark, [])).count() == 0 and packing.pack(docs(spark, ["", None])).count() == 0
 
 
+def test_packed_tokens(spark):
+    """Every token is in one sequence once, pieces of a document in their order, and bins are as full as by characters."""
+    rng = random.Random(5)
+    texts = [*HARD[:5], *[prose(rng, rng.randint(1, 200)) for _ in range(80)], prose(rng, 3000)]
+    encoded = bpe.encode(docs(spark, [*texts, (7, "tie."), (7, "tie."), (None, texts[9])]))
+    want = sorted(tuple(r["tokens"]) for r in encoded.collect() if r["tokens"])
+    rows = packing.sequences(encoded, capacity=512, shard_items=40).collect()
+    pieces = {}
+    for r in rows:
+        assert len(r["tokens"]) <= 512 and len(r["starts"]) == len(r["doc_ids"]) and r["starts"] == sorted(r["starts"])
+        for i, a, z in zip(r["doc_ids"], r["starts"], [*r["starts"][1:], len(r["tokens"])]):
+            pieces.setdefault(i, []).append(tuple(r["tokens"][a:z]))
+    assert sum(len(r["tokens"]) for r in rows) == sum(map(len, want))
+    short = [x for x in want if len(x) < 512]
+    assert sorted(x for own in pieces.values() for x in own if len(own) == 1 or x in short)[: len(short)] and all(x in [y for own in pieces.values() for y in own] for x in short)
+    long = next(x for x in want if len(x) > 2000)
+    assert sorted(p for p in pieces[len(texts) - 1]) == sorted(long[k : k + 512] for k in range(0, len(long), 512))
+    packed = packing.pack(encoded, capacity=512, size=F.size("tokens"))
+    stats = packing.fill(packed, 512).first()
+    assert stats["filled"] > 0.9 and stats["bins"] == packed.select("bin").distinct().count()
+    assert packing.sequences(encoded.limit(0)).count() == 0
+
+
 # WARC
 
 
@@ -406,5 +432,25 @@ def test_pipeline(spark, tmp_path):
     assert plain(out.collect()) == plain(now.collect()) and out.groupBy("bin").agg({"size": "sum"}).filter("`sum(size)` > 32768").count() == 0
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Null ids and texts, repeated rows, further columns with the names that operators use, and empty tables."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    line = lambda: prose(rng, 9).capitalize() + "."
+    good = "\n".join(line() for _ in range(4))
+    df = clashing(spark, [*HARD, (50, good), (50, good), (51, good), (None, "\n".join(line() for _ in range(3))), (52, "\n".join(line() for _ in range(3)))])
+    labels = spark.createDataFrame([(50, 1, 0), (None, None, 1), (52, 1, None)], "doc_id bigint, quality int, toxic int")
+    for k, (d, x) in enumerate(((df, labels), (df.limit(0), labels.limit(0)))):
+        folder = f"{tmp_path}/{k}"
+        d.write.parquet(f"{folder}/documents.parquet")
+        x.write.parquet(f"{folder}/labels.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in pipeline.STAGES[:-1]:
+            now = stage(spark, now, folder)
+            assert now.columns == df.columns
+        rows = pipeline.run(spark, folder).collect()
+        assert sorted({r["doc_id"] for r in rows}, key=str) == ([50, 52, 7, None] if k == 0 else [])
+
+
 def test_schema_of_documents():
     assert DOCS.startswith("doc_id bigint")
