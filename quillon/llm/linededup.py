@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from quillon.llm.common import done_with, free, quoted, with_text, written
+from quillon.llm.common import done_with, free, once, quoted, with_text, written
 from quillon.llm.grams import _STEP, buffers, mix, slices
 
 #: One in so many line pairs ends a chunk.
@@ -214,16 +214,18 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["t", "i", "p", "z", "run"])
 
 
-def cut(text: str | None, t: int, u: int, cuts: list[dict] | None) -> str | None:
-    """``text`` without what goes; null if no word is left. A cut without a place: the whole text came before."""
-    cuts = [c for c in cuts or [] if (c["t"], c["u"]) == (t, u)]
+def cut(text: str | None, cuts: list[int] | None) -> str | None:
+    """``text`` without what goes; null if no word is left.
+
+    cuts: numbers of a first word (or line), one after the last word (or a last line), and a bit that is set for words; -1: the whole text came before.
+    """
     if text is None:
         return None
     raw = text.encode()
-    if any(c["p"] is None for c in cuts):
+    if -1 in cuts:
         return None if b"\n" in raw or len(raw.split()) >= RUN else text
-    words = sorted((c["p"], c["z"]) for c in cuts if c["run"])
-    gone = {k for c in cuts if not c["run"] for k in range(c["p"], c["z"] + 1)}
+    words = sorted((c >> 32, (c & 0xFFFFFFFF) >> 1) for c in cuts if c & 1)
+    gone = {k for c in cuts if not c & 1 for k in range(c >> 32, ((c & 0xFFFFFFFF) >> 1) + 1)}
     out, at, k = [], 0, 0
     for n, line in enumerate(raw.split(b"\n")):
         mine = line.split()
@@ -277,14 +279,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     windows = both.mapInArrow(_windows, StructType([StructField(n, k) for n, k in (("h", LongType()), ("t", LongType()), ("i", kind), ("p", IntegerType()), ("z", IntegerType()), ("x", BinaryType()))]))
     placed = windows.repartition("h").sortWithinPartitions("h", F.col("i").asc_nulls_last(), "t", "p")
     found = placed.mapInArrow(_repeated, f"t bigint, i {kind.simpleString()}, p int, z int, run boolean").withColumn("u", of_id(F.col("i")))
-    found = found.select(F.xxhash64("t", "u").alias("d"), "t", "u", "p", "z", "run")
-    nothing = [F.lit(None).cast(k).alias(n) for n, k in (("p", "int"), ("z", "int"), ("run", "boolean"))]
-    cuts = found.unionByName(later.select("d", "t", "u", *nothing)).groupBy("d").agg(F.collect_set(F.struct("t", "u", "p", "z", "run")).alias("cuts"))
-    wcuts, left = free([*docs.columns, i, t, u, d, wd], "wcuts", "left")
+    code = F.shiftleft(F.col("p").cast("bigint"), 32) + F.col("z") * 2 + F.col("run").cast("bigint")
+    found = found.select(F.xxhash64("t", "u").alias("d"), "t", "u", code.alias("c"))
+    cuts = found.unionByName(later.select("d", "t", "u", F.lit(-1).cast("bigint").alias("c"))).groupBy("d").agg(F.collect_set(F.struct("t", "u", "c")).alias("cuts"))
+    wcuts, mine, left = free([*docs.columns, i, t, u, d, wd], "wcuts", "mine", "left")
     all_docs = carried.join(cuts.toDF(wd, wcuts), quoted(d) == quoted(wd), "left").withColumns({x: F.lit(None).cast(docs.schema[x].dataType) for x in counts})
-    hit = F.exists(quoted(wcuts), lambda c: (c["t"] == quoted(t)) & (c["u"] == quoted(u)))
-    hit = F.coalesce(hit, F.lit(False))
-    done = F.udf(cut, "string", useArrow=True)(F.when(hit, text), quoted(t), quoted(u), quoted(wcuts))
+    own = F.filter(quoted(wcuts), lambda c: (c["t"] == quoted(t)) & (c["u"] == quoted(u)))
+    all_docs = once(all_docs, **{mine: F.transform(own, lambda c: c["c"])})
+    hit = F.coalesce(F.size(quoted(mine)) > 0, F.lit(False))
+    # Not deterministic as far as the optimizer knows: it would run twice otherwise, in the filter and in the projection.
+    done = F.udf(cut, "string", useArrow=True).asNondeterministic()(F.when(hit, text), F.when(hit, quoted(mine)))
     rest = all_docs.withColumn(left, done).filter(~hit | quoted(left).isNotNull())
     return with_text(rest, F.when(hit, quoted(left)).otherwise(text), text_col).select(*[quoted(x) for x in docs.columns])
 
