@@ -252,12 +252,12 @@ def cut(text: str | None, cuts: list[int] | None) -> str | None:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated units and runs, in the columns of ``docs``."""
-    i, t, u, d, s = free(docs, "i", "t", "u", "d", "s")
+    t, u, d = free(docs, "t", "u", "d")
     text = quoted(text_col)
     of_id = lambda c: F.xxhash64(c, c.isNull())
     # A document is its id and its text: t and u, and d is of both. s is a second hash of the text.
-    keyed = docs.withColumns({i: quoted(id_col), t: F.xxhash64(text), u: of_id(quoted(id_col))}).withColumn(d, F.xxhash64(quoted(t), quoted(u)))
-    names = keyed.filter(text != "").select(quoted(i).alias("i"), quoted(t).alias("t"), quoted(u).alias("u"), quoted(d).alias("d"), F.xxhash64(F.md5(text)).alias("s"))
+    keyed = docs.withColumns({t: F.xxhash64(text), u: of_id(quoted(id_col))}).withColumn(d, F.xxhash64(quoted(t), quoted(u)))
+    names = keyed.filter(text != "").select(quoted(id_col).alias("i"), quoted(t).alias("t"), quoted(u).alias("u"), quoted(d).alias("d"), F.xxhash64(F.md5(text)).alias("s"))
     copies = names.groupBy("t", "s").agg(F.min(F.struct(F.col("i").isNull(), "i", "u")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("t", "s", F.col("first.u").alias("first"))
     later = written(names.join(copies, ["t", "s"]).filter("u <> first").select("d", "t", "u").distinct(), "copies")
 
@@ -268,11 +268,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     wanted = written(wanted.join(later.groupBy("d").agg(F.collect_list(F.struct("t", "u")).alias("later")), "d", "left"), "wanted")
     done_with(hashed)
 
-    # The documents are shuffled once: both joins with them have all columns and the same key.
+    # The documents are shuffled once: both joins with them have the same key and the same columns, so neither may have one that the other doesn't need.
     counts = ["n_chars"] if dict(docs.dtypes).get("n_chars") in ("bigint", "int") else []  # made anew by with_text
-    carried = keyed.select(quoted(t), quoted(u), text, quoted(i), quoted(d), *[quoted(c) for c in docs.columns if c != text_col and c not in counts])
+    carried = keyed.select(quoted(t), quoted(u), text, quoted(id_col), quoted(d), *[quoted(c) for c in docs.columns if c not in (text_col, id_col, *counts)])
     asked = wanted.select(F.col("d").alias("wd"), F.col("hs").alias("whs"), F.col("later").alias("wlater"))
-    wd, whs, wlater = free([*docs.columns, i, t, u, d], "wd", "whs", "wlater")
+    wd, whs, wlater = free([*docs.columns, t, u, d], "wd", "whs", "wlater")
     asked = asked.toDF(wd, whs, wlater)
     both = carried.join(asked, quoted(d) == quoted(wd)).select(*map(quoted, carried.columns), quoted(whs), quoted(wlater))
     both = both.toDF("t", "u", "x", "i", *[f"c{k}" for k in range(len(carried.columns) - 4)], "hs", "later")
@@ -282,7 +282,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     code = F.shiftleft(F.col("p").cast("bigint"), 32) + F.col("z") * 2 + F.col("run").cast("bigint")
     found = found.select(F.xxhash64("t", "u").alias("d"), "t", "u", code.alias("c"))
     cuts = found.unionByName(later.select("d", "t", "u", F.lit(-1).cast("bigint").alias("c"))).groupBy("d").agg(F.collect_set(F.struct("t", "u", "c")).alias("cuts"))
-    wcuts, mine, left = free([*docs.columns, i, t, u, d, wd], "wcuts", "mine", "left")
+    wcuts, mine, left = free([*docs.columns, t, u, d, wd], "wcuts", "mine", "left")
     all_docs = carried.join(cuts.toDF(wd, wcuts), quoted(d) == quoted(wd), "left").withColumns({x: F.lit(None).cast(docs.schema[x].dataType) for x in counts})
     own = F.filter(quoted(wcuts), lambda c: (c["t"] == quoted(t)) & (c["u"] == quoted(u)))
     all_docs = once(all_docs, **{mine: F.transform(own, lambda c: c["c"])})
