@@ -194,21 +194,28 @@ def _core(token: str) -> str:
     return core
 
 
-def runs_alone(tokens: list[str]) -> list[str]:
+def lone(token: str) -> str:
+    """The character that a token is but for punctuation around it; nothing if it is more, or isn't a letter or like one."""
+    core = token if len(token) < 2 else _core(token)
+    return core if len(core) == 1 and _ALONE.match(core) else ""
+
+
+def runs_alone(tokens: list[str], chars: dict[str, str] | None = None) -> list[str]:
     """The runs of three or more characters that stand alone. (Two, and longer pieces, are looked up in the lexicon: see ``Pieces``.)
 
-    Punctuation before a character begins a run, punctuation after it ends one.
+    Punctuation before a character begins a run, punctuation after it ends one. chars: ``lone`` of the tokens that have one, where it is known.
     """
     alone, run = [], []
-    if any(len(t) == 1 for t in tokens):
+    if chars is None:
+        chars = {t: c for t in set(tokens) if (c := lone(t))}
+    if chars:
         for t in [*tokens, ""]:
-            c = t if len(t) < 2 else _core(t)
-            last = len(c) != 1 or not _ALONE.match(c)
-            if run and (last or t[0] != c):
+            c = chars.get(t)
+            if run and (c is None or t[0] != c):
                 if len(run) > 2:
                     alone.append(" ".join(run))
                 run = []
-            if last:
+            if c is None:
                 continue
             run.append(c)
             if t[-1] != c:
@@ -219,7 +226,7 @@ def runs_alone(tokens: list[str]) -> list[str]:
 
 
 #: Characters that can stand for each other are one here: the letters that a look-alike leaves open, and look-alikes with their letters.
-_MERGED = str.maketrans({"l": "i", "g": "b", **{c: ("i" if "i" in x else "b" if "b" in x else x[0].replace("l", "i")) for c, x in LOOKS.items()}})
+_MERGED = str.maketrans({"l": "i", "g": "b", **{c: ("i" if "i" in x else "b" if "b" in x else x[0].replace("l", "i").replace("g", "b")) for c, x in LOOKS.items()}})
 _RUN = re.compile(r"(.)\1+")
 _OTHER = re.compile(r"[\W_]+")
 _BARE = re.compile(r"[\W_@$!|+(<€£¢¡]+")
@@ -230,6 +237,29 @@ def skeletons(core: str) -> set[str]:
     return {_RUN.sub(r"\1", _OTHER.sub("", core.translate(_MERGED))), _RUN.sub(r"\1", _BARE.sub("", core).translate(_MERGED))}
 
 
+class Reach:
+    """Tells the tokens that no path of a lattice leads from to a word of the lexicon, so that these need not be decoded.
+
+    A letter stands for itself, alone or twice; between the letters of a word there can be what isn't a letter, and look-alikes in their place.
+    """
+
+    def __init__(self, words: Iterable[str]) -> None:
+        words = set(words)
+        self.plain = {_RUN.sub(r"\1", w) for w in words}
+        like: dict[str, str] = {}
+        for c in {*"lg", *LOOKS}:
+            like[c.translate(_MERGED)] = like.get(c.translate(_MERGED), "") + c
+        one = lambda x: "[" + re.escape(x + like.get(x, "")) + "]"
+        shapes = sorted({_RUN.sub(r"\1", w.translate(_MERGED)) for w in words} - {""})
+        self.shape = re.compile("|".join("".join(f"{one(x)}(?:{one(x)}|[\\W\\d_])*" for x in s) for s in shapes) or r"(?!)")
+
+    def may(self, core: str) -> bool:
+        if core.isalpha():
+            return _RUN.sub(r"\1", core) in self.plain
+        # What is no letter to ``isalpha`` but to the pattern is left to the decoder.
+        return self.shape.search(core) is not None or not "".join(LETTERS.findall(core)).isalpha()
+
+
 class Pieces:
     """Finds tokens that follow each other and make a word of the lexicon together.
 
@@ -301,8 +331,8 @@ class Pieces:
         return out
 
 
-def readings(token: str, decoder: Decoder) -> tuple[str, ...]:
-    """The words of a token as it stands, and those of its restored form where that is another."""
+def readings(token: str, decoder: Decoder, reach: Reach | None = None) -> tuple[str, ...]:
+    """The words of a token as it stands, and those of its restored form where that is another. reach: of the only words that matter in it."""
     core = token.strip(_EDGE)
     plain = core.rstrip("!+$|")
     if LETTERS.fullmatch(plain) and not _DOUBLE.search(plain):
@@ -311,7 +341,7 @@ def readings(token: str, decoder: Decoder) -> tuple[str, ...]:
             return tuple(words)
     else:
         words = LETTERS.findall(token)
-    if not _HAS_LETTER.search(core):
+    if not _HAS_LETTER.search(core) or reach is not None and not reach.may(core):
         return tuple(words)
     found = {*words, *LETTERS.findall(decoder.restore(core))}
     if _LOOK_SYMBOL.search(core):
@@ -366,33 +396,39 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     spark = docs.sparkSession
     weights, threshold = fit(docs, labels, id_col, text_col, labelled, **label_columns)
     trigrams, counts, total = corpus_counts(docs, text_col, Pieces.parts(weights))
-    model = spark.sparkContext.broadcast((Decoder(log_odds_table(trigrams)), weights, threshold, Pieces(weights, counts, total)))
+    model = spark.sparkContext.broadcast((Decoder(log_odds_table(trigrams)), weights, threshold, Pieces(weights, counts, total), Reach(weights)))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, weights, threshold, pieces = model.value
+        decoder, weights, threshold, pieces, reach = model.value
         kept: dict[str, tuple[str, ...]] = {}
         first: dict[str, bool] = {}
+        alone: dict[str, str] = {}
         for b in batches:
             flags, scores, lists = [], [], []
             for text in b.column(place).to_pylist():
                 words: set[str] = set()
                 if text and weights:
                     order = text.lower().split()
-                    tokens, begin = set(order), set()
+                    tokens, begin, chars = set(order), set(), {}
                     for t in tokens:
                         got = kept.get(t)
                         if got is None:
                             if len(kept) > 500_000:
                                 kept.clear()
                                 first.clear()
-                            got = kept[t] = tuple(w for w in readings(t, decoder) if w in weights)
+                                alone.clear()
+                            got = kept[t] = tuple(w for w in readings(t, decoder, reach) if w in weights)
                             first[t] = pieces.begin(t)
+                            if c := lone(t):
+                                alone[t] = c
                         if got:
                             words.update(got)
                         if first[t]:
                             begin.add(t)
-                    for t in runs_alone(order):
+                        if t in alone:
+                            chars[t] = alone[t]
+                    for t in runs_alone(order, chars):
                         words.update(w for w in LETTERS.findall(decoder.restore(t)) if w in weights)
                     for t in pieces.spans(order, begin) if begin else ():
                         run, whole = t.split(" "), t.replace(" ", "")

@@ -5,6 +5,7 @@ import itertools
 import random
 import time
 
+import numpy as np
 import pytest
 from helpers import CLASH, DOCS, clashing, docs, plain, same_as_sql
 from pyspark.sql import functions as F
@@ -366,6 +367,27 @@ def test_columns_of_labels(spark):
     assert plain(toxicity.scan(df, named, label_id="the.id", label_col="bad").collect()) == plain(toxicity.scan(df, labels).collect())
 
 
+def test_toxicity_reach():
+    """Tokens that are not decoded have no word of the lexicon in their restored form."""
+    words = ["bully", "ugly", "filth", "ass", "idiot", "scum", "worthless", "größe"]
+    rng = np.random.default_rng(3)
+    table = rng.normal(-3, 2, toxicity.CLASSES**3).astype(np.float32)
+    decoder, reach, weights = toxicity.Decoder(table), toxicity.Reach(words), set(words)
+    swaps = {v: k for k, vs in toxicity.LOOKS.items() for v in vs}
+    hits = skipped = 0
+    for _ in range(4000):
+        out = []
+        for c in words[rng.integers(len(words))]:
+            kind = rng.integers(9)
+            out.append(c * int(rng.integers(2, 4)) if kind == 0 else swaps.get(c, c) if kind == 1 else c + "-_.7²"[rng.integers(5)] if kind == 2 else "" if kind == 3 and rng.integers(3) == 0 else c)
+        token = "".join(out) + ["", "x", "!", "-ly"][rng.integers(4)]
+        full = {w for w in toxicity.readings(token, decoder) if w in weights}
+        assert {w for w in toxicity.readings(token, decoder, reach) if w in weights} == full, token
+        hits += bool(full)
+        skipped += not reach.may(token)
+    assert hits > 100 and skipped > 100
+
+
 def test_toxicity_edges(spark):
     df, labels = labelled(spark, n=40)
     assert toxicity.scan(df, labels.limit(0)).count() == 0
