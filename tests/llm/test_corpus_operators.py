@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow.fs
@@ -356,6 +357,35 @@ def test_join_equals_sql(spark):
     same_as_sql(jaccard.join(df), jaccard.sql(), documents=df)
 
 
+def test_join_unit_of_a_large_class():
+    """Millions of pairs take no step of Python each; links are exact, for pairs near the threshold too."""
+    rng = np.random.default_rng(1)
+    sets = [np.unique(np.concatenate([np.flatnonzero(rng.random(300) < rng.uniform(0.5, 1)) + 10_000, rng.integers(0, 2_000, 20)])) for _ in range(3_000)]
+    rows = [(k % 2, k, 1 + k % 3, len(s) + k % 5, s) for k, s in enumerate(sets)]
+    held = np.zeros((len(sets), 10_300), dtype=np.float32)
+    for k, s in enumerate(sets):
+        held[k, s] = 1
+    overlap = held @ held.T
+    sizes, documents = (np.array([r[i] for r in rows], dtype=np.int64) for i in (3, 2))
+    near = overlap / (sizes[:, None] + sizes - overlap) >= jaccard.THRESHOLD
+    np.fill_diagonal(near, False)
+    assert 0.2 < near.mean() < 0.98
+    began = time.process_time()
+    whole = list(jaccard._unit([(0, *r[1:]) for r in rows], 0, 0, jaccard.THRESHOLD))
+    assert time.process_time() - began < 15
+    assert {k: n for k, _, n in whole} == {k: n for k, n in enumerate((near @ documents).tolist()) if n}
+    across = near & (np.arange(len(sets))[:, None] % 2 != np.arange(len(sets)) % 2)
+    assert {k: n for k, _, n in jaccard._unit(rows, 0, 1, jaccard.THRESHOLD)} == {k: n for k, n in enumerate((across @ documents).tolist()) if n}
+
+
+def test_join_components_share_a_trie_but_blocks_do_not(spark, monkeypatch):
+    rows = copies(random.Random(3))
+    want = plain(slow_classes(rows))
+    for together, block_grams in ((0, 10**6), (10**6, 10**6), (10**6, 60)):
+        monkeypatch.setattr(jaccard, "TOGETHER", together)
+        assert plain(jaccard.join(docs(spark, rows), block_grams=block_grams).collect()) == want
+
+
 def test_join_edges(spark):
     df = clashing(spark, [*HARD, "long " + prose(random.Random(1), 20_000), "short. word", "Short word"])
     rows = plain(jaccard.join(df).collect())
