@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 
@@ -40,6 +41,10 @@ SUPPORT, LEAST_ODDS = 4, 3.5
 #: In the choice of the threshold a clean document that is flagged counts as so many toxic ones that are missed.
 FALSE_ALARM = 3.0
 THRESHOLDS = tuple(x / 2 for x in range(6, 31))
+#: Bytes of text that a task holds as Python strings at once (a longer text counts as a whole).
+PART_BYTES = 1_000_000
+#: What is known of tokens is kept for twice so many at most (of tokens as pieces, for fewer), and for none longer than so many characters.
+KNOWN, KNOWN_PIECES, LONGEST_KNOWN = 100_000, 60_000, 64
 
 #: What else a character can stand for.
 LOOKS = {
@@ -58,12 +63,40 @@ _LOOK_SYMBOL = re.compile(r"[@$!|+(<€£¢¡]")
 _ALONE = re.compile(r"[^\W_]|[@$!|+(<€£¢¡]")
 
 CLASSES = 91
-_CLASS = np.zeros(256, dtype=np.int64)
+_CLASS = np.zeros(256, dtype=np.int32)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[65:91] = np.arange(1, 27)
 _CLASS[128:] = 27 + (np.arange(128, 256) & 63)
 
 
+#: What is known of a token that matters in no way.
+NOTHING = ((), False, "")
+
+
+class Recent:
+    """What is known of tokens: of the last ones, ``most`` to twice as many."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.now: dict[str, object] = {}
+        self.before: dict[str, object] = {}
+
+    def get(self, token: str) -> object | None:
+        got = self.now.get(token)
+        if got is None:
+            got = self.before.get(token)
+            if got is not None:
+                self.put(token, got)
+        return got
+
+    def put(self, token: str, got: object) -> None:
+        if len(token) > LONGEST_KNOWN:
+            return
+        if len(self.now) >= self.most:
+            self.now, self.before = {}, self.now
+        self.now[token] = got
+
+
 # The language model
 
 
@@ -78,17 +111,17 @@ def corpus_counts(docs: DataFrame, text_col: str, pieces: Iterable[str] = ()) ->
         for b in batches:
             for _, part in slices(b.column(0)):
                 data, offsets = buffers(part)
-                x = _CLASS[np.insert(data, offsets[:-1], 32)] if len(data) else np.zeros(0, dtype=np.int64)
-                x = np.append(x, [0, 0])
+                x = _CLASS[np.insert(data, offsets[:-1], 32)] if len(data) else np.zeros(0, dtype=np.int32)
+                x = np.append(x, np.zeros(2, dtype=x.dtype))
                 x = x[np.append(True, (x[1:] != 0) | (x[:-1] != 0))]
                 if len(x) > 2:
                     sums += np.bincount((x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:], minlength=size)
-            if number:
-                for text in b.column(0).to_pylist():
-                    tokens = (text or "").lower().split()
-                    total += len(tokens)
-                    for t in filter(number.__contains__, tokens):
-                        every[number[t]] += 1
+                if number:
+                    for text in part:
+                        tokens = (text.as_py() or "").lower().split()
+                        total += len(tokens)
+                        for t in filter(number.__contains__, tokens):
+                            every[number[t]] += 1
         counts = np.concatenate([sums, np.array([*every, total], dtype=np.int64)])
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["code", "n"])
@@ -116,8 +149,8 @@ class Decoder:
         self.packed = table
 
     @cached_property
-    def table(self) -> list[float]:
-        return self.packed.tolist()
+    def table(self) -> array:
+        return array("f", self.packed.astype(np.float32, copy=False).tobytes())
 
     def __getstate__(self) -> dict:
         return {"packed": self.packed}
@@ -272,7 +305,7 @@ class Pieces:
         self.pairs: dict[str, bool] = {}
         self.two = {x[:2] for x in self.begins}
         self.counts, self.total = counts, total
-        self.known: dict[str, tuple[str, set[str], bool, bool]] = {}
+        self.known = Recent(KNOWN_PIECES)
 
     @staticmethod
     def parts(words: Iterable[str]) -> set[str]:
@@ -288,10 +321,9 @@ class Pieces:
         """Its core, the skeletons of that, whether it may go on a word, and whether the next token may go on with it."""
         got = self.known.get(t)
         if got is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
             core = _core(t)
-            got = self.known[t] = core, skeletons(core) - {""}, t.startswith(core), t.endswith(core)
+            got = core, skeletons(core) - {""}, t.startswith(core), t.endswith(core)
+            self.known.put(t, got)
         return got
 
     def begin(self, t: str) -> bool:
@@ -392,6 +424,45 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labelled
 # Scoring
 
 
+class Scorer:
+    """Finds the words of the lexicon in texts, behind disguises too."""
+
+    def __init__(self, decoder: Decoder, weights: dict[str, float], pieces: Pieces, reach: Reach) -> None:
+        self.decoder, self.weights, self.pieces, self.reach = decoder, weights, pieces, reach
+        self.known = Recent(KNOWN)
+
+    def token(self, t: str) -> tuple[tuple[str, ...], bool, str]:
+        """Its words of the lexicon, whether it may be the first piece of one, and ``lone``."""
+        got = self.known.get(t)
+        if got is None:
+            got = tuple(w for w in readings(t, self.decoder, self.reach) if w in self.weights), self.pieces.begin(t), lone(t)
+            if got == NOTHING:
+                got = NOTHING  # one object for most tokens
+            self.known.put(t, got)
+        return got
+
+    def words(self, text: str) -> set[str]:
+        words: set[str] = set()
+        order = text.lower().split()
+        begin, chars = set(), {}
+        for t in set(order):
+            got = self.token(t)
+            if got is not NOTHING:
+                found, first, c = got
+                words.update(found)
+                if first:
+                    begin.add(t)
+                if c:
+                    chars[t] = c
+        for t in runs_alone(order, chars):
+            words.update(w for w in LETTERS.findall(self.decoder.restore(t)) if w in self.weights)
+        for t in self.pieces.spans(order, begin) if begin else ():
+            run, whole = t.split(" "), t.replace(" ", "")
+            reads = {*LETTERS.findall(self.decoder.restore(whole)), *(LETTERS.findall(self.decoder.restore(whole, strict=True)) if _LOOK_SYMBOL.search(t) else ())}
+            words.update(w for w in reads if w in self.weights and self.pieces.likely(w, run))
+        return words
+
+
 def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labelled: int, toxic: str, score: str, found: str, **label_columns: str) -> DataFrame:
     spark = docs.sparkSession
     weights, threshold = fit(docs, labels, id_col, text_col, labelled, **label_columns)
@@ -401,45 +472,18 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, weights, threshold, pieces, reach = model.value
-        kept: dict[str, tuple[str, ...]] = {}
-        first: dict[str, bool] = {}
-        alone: dict[str, str] = {}
+        scorer = Scorer(decoder, weights, pieces, reach)
         for b in batches:
-            flags, scores, lists = [], [], []
-            for text in b.column(place).to_pylist():
-                words: set[str] = set()
-                if text and weights:
-                    order = text.lower().split()
-                    tokens, begin, chars = set(order), set(), {}
-                    for t in tokens:
-                        got = kept.get(t)
-                        if got is None:
-                            if len(kept) > 500_000:
-                                kept.clear()
-                                first.clear()
-                                alone.clear()
-                            got = kept[t] = tuple(w for w in readings(t, decoder, reach) if w in weights)
-                            first[t] = pieces.begin(t)
-                            if c := lone(t):
-                                alone[t] = c
-                        if got:
-                            words.update(got)
-                        if first[t]:
-                            begin.add(t)
-                        if t in alone:
-                            chars[t] = alone[t]
-                    for t in runs_alone(order, chars):
-                        words.update(w for w in LETTERS.findall(decoder.restore(t)) if w in weights)
-                    for t in pieces.spans(order, begin) if begin else ():
-                        run, whole = t.split(" "), t.replace(" ", "")
-                        reads = {*LETTERS.findall(decoder.restore(whole)), *(LETTERS.findall(decoder.restore(whole, strict=True)) if _LOOK_SYMBOL.search(t) else ())}
-                        words.update(w for w in reads if w in weights and pieces.likely(w, run))
-                s = sum(weights[w] for w in sorted(words))
-                scores.append(round(s, 6))
-                flags.append(bool(words) and s >= threshold)
-                lists.append(sorted(words))
-            made = [pa.array(flags, pa.bool_()), pa.array(scores, pa.float64()), pa.array(lists, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, toxic, score, found])
+            for begins, part in slices(b.column(place), PART_BYTES):
+                flags, scores, lists = [], [], []
+                for text in part.to_pylist():
+                    words = scorer.words(text) if text and weights else set()
+                    s = sum(weights[w] for w in sorted(words))
+                    scores.append(round(s, 6))
+                    flags.append(bool(words) and s >= threshold)
+                    lists.append(sorted(words))
+                made = [pa.array(flags, pa.bool_()), pa.array(scores, pa.float64()), pa.array(lists, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*b.slice(begins, len(part)).columns, *made], [*b.schema.names, toxic, score, found])
 
     made = [StructField(toxic, BooleanType()), StructField(score, DoubleType()), StructField(found, ArrayType(StringType()))]
     return map_rows(docs, run, made)

@@ -4,6 +4,7 @@ import base64
 import itertools
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -388,6 +389,30 @@ def test_toxicity_reach():
     assert hits > 100 and skipped > 100
 
 
+def test_toxicity_holds_little_at_once():
+    """Before, a task kept what it knew of 500,000 tokens, however long these were, and half a million numbers as objects."""
+    rng = np.random.default_rng(2)
+    words = ["grubnal", "zortik"]
+    pieces = toxicity.Pieces(words, {"grubnal": 50}, 10_000)
+    decoder = toxicity.Decoder(rng.normal(-3, 1, toxicity.CLASSES**3).astype(np.float32))
+    assert decoder.table.itemsize == 4
+    scorer = toxicity.Scorer(decoder, dict.fromkeys(words, 4.0), pieces, toxicity.Reach(words))
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    token = lambda n: "".join(rng.choice(letters, n))
+    assert scorer.words("gr8t " + token(5_000) + " Zortik, grubnal!") == set(words)
+    tracemalloc.start()
+    for _ in range(100):
+        scorer.words(" ".join(token(100) for _ in range(100)) + " " + token(20_000))
+    assert tracemalloc.get_traced_memory()[0] < 1_500_000  # of tokens of 3 MB
+    tracemalloc.stop()
+    known = toxicity.Recent(10)
+    for k in range(1_000):
+        known.put(str(k), (k,))
+        assert known.get(str(k)) == (k,) and known.get("0") == (0,)  # what is asked for stays
+    known.put("x" * 1_000, (1,))
+    assert len(known.now) + len(known.before) <= 20 and known.get("x" * 1_000) is None and known.get("999") == (999,)
+
+
 def test_toxicity_edges(spark):
     df, labels = labelled(spark, n=40)
     assert toxicity.scan(df, labels.limit(0)).count() == 0
