@@ -56,6 +56,7 @@ AS_LETTER, AS_NOTHING, LOOK_DROPPED, AS_GAP, DIGIT_DROPPED, DIGIT_GAP, ONE_OF_RU
 CUT = math.log(1000)
 LETTERS = re.compile(r"[^\W\d_]+")
 _EDGE = ".,;:?\"'()[]{}«»“”‘’…¿-_*&#%^~=/\\<>`"
+_ENDS = "!+$|"
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 _LOOK_SYMBOL = re.compile(r"[@$!|+(<€£¢¡]")
@@ -97,6 +98,31 @@ class Recent:
         self.now[token] = got
 
 
+class Dull:
+    """Tokens that matter in no way: of the last ones, ``most`` to twice as many."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.now: set[str] = set()
+        self.before: set[str] = set()
+
+    def others(self, tokens: set[str]) -> set[str]:
+        """The tokens that aren't known to be dull."""
+        tokens = tokens - self.now
+        again = tokens & self.before
+        tokens -= again
+        for t in again:
+            self.add(t)
+        return tokens
+
+    def add(self, token: str) -> None:
+        if len(token) > LONGEST_KNOWN:
+            return
+        if len(self.now) >= self.most:
+            self.now, self.before = set(), self.now
+        self.now.add(token)
+
+
 # The language model
 
 
@@ -222,7 +248,7 @@ class Decoder:
 def _core(token: str) -> str:
     """A token without the punctuation around it."""
     core = token.strip(_EDGE)
-    while len(core) > 1 and core[-1] in "!+$|":
+    while len(core) > 1 and core[-1] in _ENDS:
         core = core[:-1].rstrip(_EDGE) or core[-1]
     return core
 
@@ -302,8 +328,9 @@ class Pieces:
     def __init__(self, words: Iterable[str], counts: dict[str, int], total: int) -> None:
         self.whole = {x for w in words for x in skeletons(w)} - {""}
         self.begins = {x[:k] for x in self.whole for k in range(1, len(x))}
-        self.pairs: dict[str, bool] = {}
-        self.two = {x[:2] for x in self.begins}
+        self.starts = self.begins | self.whole
+        self.heads: dict[str, bool] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.counts, self.total = counts, total
         self.known = Recent(KNOWN_PIECES)
 
@@ -326,23 +353,40 @@ class Pieces:
             self.known.put(t, got)
         return got
 
+    def head(self, letters: str) -> bool:
+        """Whether a word of the lexicon begins as these letters do, or is them. (The skeleton of a beginning begins the skeleton.)"""
+        four = letters[:4]
+        may = self.heads.get(four)
+        if may is None:  # most go by their first four letters
+            if len(self.heads) >= KNOWN_PIECES:
+                self.heads.clear()
+            may = self.heads[four] = _RUN.sub(r"\1", four.translate(_MERGED)) in self.starts
+        return may and _RUN.sub(r"\1", letters.translate(_MERGED)) in self.starts
+
     def begin(self, t: str) -> bool:
         """Whether a token may be the first piece."""
-        two = t[:2]
-        may = self.pairs.get(two)
-        if may is None:  # most tokens go by their first two letters
-            plain = len(two) == 2 and two.isalpha() and two[0] != two[1]
-            may = self.pairs[two] = not plain or two.translate(_MERGED) in self.two
-        if not may:
-            return False
         core, bare, _, on = self.token(t)
         return bool(core) and on and not bare.isdisjoint(self.begins)
 
+    def follows(self, t: str, after: str) -> bool:
+        """Whether a token may go on what t begins, by its first three characters: most can't."""
+        three = after[:3]
+        may = self.pairs.get((t, three))
+        if may is None:
+            y = three.translate(_MERGED)
+            may = not three.isalpha() or any(_RUN.sub(r"\1", x + y) in self.starts for x in self.token(t)[1])
+            if len(t) <= LONGEST_KNOWN:
+                if len(self.pairs) >= KNOWN_PIECES:
+                    self.pairs.clear()
+                self.pairs[t, three] = may
+        return may
+
     def spans(self, tokens: list[str], first: set[str]) -> set[str]:
         """The runs of two tokens or more that may be a word. first: the tokens that can begin one."""
         out = set()
-        for i, t in enumerate(tokens):
-            if t not in first:
+        for i in [i for i, t in enumerate(tokens[:-1]) if t in first]:
+            t = tokens[i]
+            if not self.follows(t, tokens[i + 1]):
                 continue
             core, now, _, on = self.token(t)
             run = [core]
@@ -366,7 +410,7 @@ class Pieces:
 def readings(token: str, decoder: Decoder, reach: Reach | None = None) -> tuple[str, ...]:
     """The words of a token as it stands, and those of its restored form where that is another. reach: of the only words that matter in it."""
     core = token.strip(_EDGE)
-    plain = core.rstrip("!+$|")
+    plain = core.rstrip(_ENDS)
     if LETTERS.fullmatch(plain) and not _DOUBLE.search(plain):
         words = LETTERS.findall(plain)
         if plain == core:
@@ -429,32 +473,44 @@ class Scorer:
 
     def __init__(self, decoder: Decoder, weights: dict[str, float], pieces: Pieces, reach: Reach) -> None:
         self.decoder, self.weights, self.pieces, self.reach = decoder, weights, pieces, reach
-        self.known = Recent(KNOWN)
+        self.known, self.dull = Recent(KNOWN), Dull(KNOWN)
+
+    def matters(self, t: str) -> bool:
+        """Whether a token may be of use. It isn't where it is letters, but for what is around them, and no word of the lexicon begins as they do."""
+        core = t.strip(_EDGE)
+        letters = core.rstrip(_ENDS)
+        if len(letters) < 2 or not letters.isalpha():
+            return True
+        if len(core) > len(letters) + 1 and core[len(letters) :].strip(core[-1]):
+            return True  # symbols that differ can be a word behind a gap
+        return self.pieces.head(letters)
 
     def token(self, t: str) -> tuple[tuple[str, ...], bool, str]:
         """Its words of the lexicon, whether it may be the first piece of one, and ``lone``."""
         got = self.known.get(t)
         if got is None:
-            got = tuple(w for w in readings(t, self.decoder, self.reach) if w in self.weights), self.pieces.begin(t), lone(t)
+            got = NOTHING
+            if self.matters(t):
+                got = tuple(w for w in readings(t, self.decoder, self.reach) if w in self.weights), self.pieces.begin(t), lone(t)
             if got == NOTHING:
-                got = NOTHING  # one object for most tokens
-            self.known.put(t, got)
+                self.dull.add(t)
+            else:
+                self.known.put(t, got)
         return got
 
     def words(self, text: str) -> set[str]:
         words: set[str] = set()
         order = text.lower().split()
         begin, chars = set(), {}
-        for t in set(order):
-            got = self.token(t)
-            if got is not NOTHING:
-                found, first, c = got
-                words.update(found)
-                if first:
-                    begin.add(t)
-                if c:
-                    chars[t] = c
-        for t in runs_alone(order, chars):
+        for t in self.dull.others(set(order)):
+            found, first, c = self.token(t)
+            words.update(found)
+            if first:
+                begin.add(t)
+            if c:
+                chars[t] = c
+        at = [i for i, t in enumerate(order) if t in chars] if chars else []
+        for t in runs_alone(order, chars) if any(c - a == 2 for a, c in zip(at, at[2:])) else ():
             words.update(w for w in LETTERS.findall(self.decoder.restore(t)) if w in self.weights)
         for t in self.pieces.spans(order, begin) if begin else ():
             run, whole = t.split(" "), t.replace(" ", "")

@@ -413,6 +413,56 @@ def test_toxicity_holds_little_at_once():
     assert len(known.now) + len(known.before) <= 20 and known.get("x" * 1_000) is None and known.get("999") == (999,)
 
 
+def scorer_of(words):
+    decoder = toxicity.Decoder(np.random.default_rng(4).normal(-3, 2, toxicity.CLASSES**3).astype(np.float32))
+    return toxicity.Scorer(decoder, dict.fromkeys(words, 4.0), toxicity.Pieces(words, dict.fromkeys(words, 100), 10_000), toxicity.Reach(words))
+
+
+def test_toxicity_looks_at_few_tokens_in_full(monkeypatch):
+    """Before, each token was read and cut to its skeletons."""
+    scorer, rng, read = scorer_of(["filth", "idiot", "scum"]), random.Random(4), []
+    monkeypatch.setattr(toxicity, "readings", lambda t, *x: read.append(t) or ())
+    calm = ["".join(rng.choices("enorthwv", k=9)) + ["", ",", "$$$", "!!"][k % 4] for k in range(1000)]
+    assert scorer.words(" ".join(calm)) == set() and len(read) < 10
+
+
+def test_toxicity_of_first_pieces_with_merged_letters():
+    """Before, a token that begins with li, il, gb or bg was never a first piece."""
+    assert scorer_of(["liar", "bully"]).words("a lia r he is") == {"liar"}
+
+
+def test_toxicity_leaves_out_nothing_that_matters():
+    words = ["bully", "ugly", "filth", "ass", "idiot", "liar", "scum", "its", "größe"]
+    scorer, pieces, rng = scorer_of(words), toxicity.Pieces(words, {}, 1), np.random.default_rng(4)
+    swaps = {v: k for k, vs in toxicity.LOOKS.items() for v in vs}
+    left = first = going = 0
+
+    def token():
+        w = words[rng.integers(len(words))]
+        a = int(rng.integers(len(w)))
+        w = w if rng.integers(3) else w[:a] if rng.integers(2) else w[a:]
+        kinds = [(c, int(rng.integers(14))) for c in w]
+        w = "".join(c * int(rng.integers(2, 4)) if k == 0 else swaps.get(c, c) if k == 1 else c + "-.7²"[rng.integers(4)] if k == 2 else "lgbixe"[rng.integers(6)] if k == 3 else c for c, k in kinds)
+        return ["", "", "", "“", "(", "$"][rng.integers(6)] + w + ["", "", "", "!", "$$$", ".", "!!.", "!+$", ",!!", "||"][rng.integers(10)]
+
+    tokens = [t for _ in range(6000) if (t := token())]
+    for t, after in zip(tokens, tokens[1:]):
+        core, bare, _, on = pieces.token(t)
+        begins = bool(core) and on and not bare.isdisjoint(pieces.begins)
+        assert scorer.pieces.begin(t) == begins
+        full = {w for w in toxicity.readings(t, scorer.decoder) if w in words}
+        if not scorer.matters(t):
+            assert not full and not begins and not toxicity.lone(t), t
+            left += 1
+        first += begins
+        if begins and not scorer.pieces.follows(t, after):
+            joins, y = pieces.token(after)[2], pieces.token(after)[1]
+            assert not joins or y and not {toxicity._RUN.sub(r"\1", a + b) for a in bare for b in y} & (pieces.begins | pieces.whole), (t, after)
+            going += 1
+        assert set(scorer.token(t)[0]) == full and scorer.token(t)[1:] == (begins, toxicity.lone(t)), t
+    assert left > 500 and first > 200 and going > 50
+
+
 def test_toxicity_edges(spark):
     df, labels = labelled(spark, n=40)
     assert toxicity.scan(df, labels.limit(0)).count() == 0
