@@ -136,12 +136,15 @@ def corpus_counts(docs: DataFrame, text_col: str, pieces: Iterable[str] = ()) ->
         sums, every, total = np.zeros(size, dtype=np.int64), [0] * len(names), 0
         for b in batches:
             for _, part in slices(b.column(0)):
-                data, offsets = buffers(part)
-                x = _CLASS[np.insert(data, offsets[:-1], 32)] if len(data) else np.zeros(0, dtype=np.int32)
-                x = np.append(x, np.zeros(2, dtype=x.dtype))
-                x = x[np.append(True, (x[1:] != 0) | (x[:-1] != 0))]
-                if len(x) > 2:
-                    sums += np.bincount((x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:], minlength=size)
+                last = np.zeros(0, dtype=np.int32)
+                for _, few in slices(part, PART_BYTES):  # arrays of a few MB go back to the system
+                    data, offsets = buffers(few)
+                    x = _CLASS[np.insert(data, offsets[:-1], 32)] if len(data) else np.zeros(0, dtype=np.int32)
+                    x = np.concatenate([last, x, np.zeros(2, dtype=x.dtype)])
+                    x = x[np.append(True, (x[1:] != 0) | (x[:-1] != 0))]
+                    if len(x) > 2:
+                        sums += np.bincount((x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:], minlength=size)
+                    last = x[-2:-1].copy()
                 if number:
                     for text in part:
                         tokens = (text.as_py() or "").lower().split()
