@@ -21,7 +21,7 @@ from quillon.operators.search import Engine, file_scores
 from quillon.sources import files as sources
 from quillon.sources.storage import write_text
 
-VERSION = 2
+VERSION = 3
 #: Tables with rows of one file each, and those that are made from all of them.
 OF_FILES, OF_ALL = ("files", "postings", "symbols", "imports"), ("edges", "file_meta")
 
@@ -33,14 +33,22 @@ def fingerprint(paths: Sequence[str], extensions: Sequence[str] = (), exclude: S
     return hashlib.md5(text.encode()).hexdigest()
 
 
+def _write_lists(lists: DataFrame, at: str) -> None:
+    """Small pages: a lookup of a few trigrams reads a few pages of each segment."""
+    lists.write.option("parquet.page.row.count.limit", 256).parquet(at)
+
+
+def _table(spark: SparkSession, at: str, name: str) -> DataFrame:
+    found = spark.read.parquet(f"{at}/{name}")
+    return trigrams.of_lists(found) if name == "postings" else found
+
+
 def _write_tables(files: DataFrame, at: str) -> None:
     """The tables of files. Each is computed from those already written, not from the source again."""
     spark = files.sparkSession
     files.select("file_id", "path", "content").write.parquet(f"{at}/files")
     files = spark.read.parquet(f"{at}/files")
-    # By ranges of trigrams: a lookup of a few trigrams reads a few row groups of a few files.
-    posts = trigrams.postings(files).repartitionByRange("trigram").sortWithinPartitions("trigram", "file_id")
-    posts.write.parquet(f"{at}/postings")
+    _write_lists(trigrams.lists(files), f"{at}/postings")
     sym.extract(files).write.parquet(f"{at}/extracted")
     extracted = spark.read.parquet(f"{at}/extracted")
     sym.symbol_table(extracted).write.parquet(f"{at}/symbols")
@@ -60,7 +68,7 @@ def save(files: DataFrame, folder: str, config: str = "") -> None:
     version = f"v-{uuid.uuid4().hex}"
     at = f"{folder}/{version}"
     _write_tables(files, at)
-    _write_links({t: spark.read.parquet(f"{at}/{t}") for t in OF_FILES}, at)
+    _write_links({t: _table(spark, at, t) for t in OF_FILES}, at)
     write_text(spark, f"{folder}/manifest.json", json.dumps({"version": VERSION, "config": config, "base": version, "deltas": []}))
 
 
@@ -73,12 +81,12 @@ def tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     known = manifest(spark, folder)
     if known["version"] != VERSION:
         raise ValueError(f"index version {known['version']}, expected {VERSION}")
-    out = {t: spark.read.parquet(f"{folder}/{known['base']}/{t}") for t in (*OF_FILES, *OF_ALL)}
+    out = {t: _table(spark, f"{folder}/{known['base']}", t) for t in (*OF_FILES, *OF_ALL)}
     for delta in known["deltas"]:
         at = f"{folder}/{delta}"
         gone = spark.read.parquet(f"{at}/gone")
         for t in OF_FILES:
-            out[t] = out[t].join(gone, "file_id", "left_anti").unionByName(spark.read.parquet(f"{at}/{t}"))
+            out[t] = out[t].join(gone, "file_id", "left_anti").unionByName(_table(spark, at, t))
         for t in OF_ALL:
             out[t] = spark.read.parquet(f"{at}/{t}")
     return out
@@ -113,7 +121,7 @@ def update(spark: SparkSession, folder: str, changes: DataFrame) -> None:
     _write_tables(_fresh(last, of), at)
     gone = spark.read.parquet(f"{at}/gone")
     for t in OF_FILES:
-        now[t] = now[t].join(gone, "file_id", "left_anti").unionByName(spark.read.parquet(f"{at}/{t}"))
+        now[t] = now[t].join(gone, "file_id", "left_anti").unionByName(_table(spark, at, t))
     _write_links(now, at)
     write_text(spark, f"{folder}/manifest.json", json.dumps({**known, "deltas": [*known["deltas"], delta]}))
 
@@ -123,8 +131,10 @@ def compacted(spark: SparkSession, folder: str) -> None:
     known, now = manifest(spark, folder), tables(spark, folder)
     version = f"v-{uuid.uuid4().hex}"
     for t, df in now.items():
-        df = df.repartitionByRange("trigram").sortWithinPartitions("trigram", "file_id") if t == "postings" else df
-        df.write.parquet(f"{folder}/{version}/{t}")
+        if t != "postings":
+            df.write.parquet(f"{folder}/{version}/{t}")
+    # From the files again: cheaper than to sort all postings.
+    _write_lists(trigrams.lists(spark.read.parquet(f"{folder}/{version}/files")), f"{folder}/{version}/postings")
     write_text(spark, f"{folder}/manifest.json", json.dumps({**known, "base": version, "deltas": []}))
 
 

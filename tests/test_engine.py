@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,28 @@ def test_trigrams(spark, files):
     assert [r[0] for r in bits] == [1]
 
 
+def test_stored_lists(spark, files, tmp_path, monkeypatch):
+    """Lists hold the same as postings, are stored as they are made, without a shuffle, and give it after updates and compaction as well."""
+    monkeypatch.setattr(trigrams, "AT_ONCE", 7)
+    texts = [None, "", "ab", "größe größe", "x" * 40, "doc_1"]
+    want = {(g, 10 * i) for i, t in enumerate(texts) for x in (t, "stem") for g in trigrams.of(x or "")}
+    batches = [pa.RecordBatch.from_arrays([pa.array([10 * i]), pa.array([t], pa.string()), pa.array(["stem"])], ["file_id", "content", "stem"]) for i, t in enumerate(texts)]
+    for segment in (1, 20, 1 << 21):
+        monkeypatch.setattr(trigrams, "SEGMENT", segment)
+        got = [(int(k >> 32), ids[int(k & 0xFFFFFFFF)].as_py()) for keys, ids in trigrams._segments(iter(batches)) for k in keys]
+        assert len(got) == len(want) and set(got) == want
+    assert "Exchange" not in plan_of(trigrams.lists(files))
+    folder = str(tmp_path / "index")
+    index.save(files, folder)
+    raw = spark.read.parquet(f"{folder}/{index.manifest(spark, folder)['base']}/postings")
+    assert raw.columns == ["trigram", "file_ids"] and raw.count() < trigrams.postings(files).count()
+    index.update(spark, folder, spark.createDataFrame([("/w/project/src/auth.rs", "modified", 1, 1, "fn other() {}"), ("/w/project/src/main.rs", "deleted", 1, 2, None)], "path string, op string, ts int, seq int, content string"))
+    for _ in range(2):
+        now = index.load(spark, folder)
+        assert sorted(now.postings.select("trigram", "file_id").collect()) == sorted(trigrams.postings(now.files).collect()) and now.files.count() == len(CORPUS) - 1
+        index.compacted(spark, folder)
+
+
 SOURCES = {
     "rs": ("pub async fn go() {}\nstruct S;\nenum E { A }\ntrait T {}\nimpl<T> T for S {}\ntype A = u8;\nconst C: u8 = 1;\n/* fn no() {} */\n// fn neither()", {"go": "Function", "S": "Struct", "E": "Enum", "T": "Trait", "A": "Type", "C": "Constant"}),
     "ts": ("export interface I {}\nexport class C {}\ntype T = string;\nexport enum E {}\nexport async function f() {}", {"I": "Interface", "C": "Class", "T": "Type", "E": "Enum", "f": "Function"}),
