@@ -169,6 +169,13 @@ def test_stored_lists(spark, files, tmp_path, monkeypatch):
         index.compacted(spark, folder)
 
 
+def test_lost_files(engine, spark):
+    assert diagnostics.lost_files(engine).count() == 0
+    more = engine.postings.unionByName(spark.createDataFrame([(1, -1), (2, -1)], "trigram int, file_id bigint"))
+    damaged = search.Engine(engine.files, postings=more)
+    assert [r[0] for r in diagnostics.lost_files(damaged).collect()] == [-1] and "HashAggregate" in plan_of(diagnostics.lost_files(damaged))
+
+
 SOURCES = {
     "rs": ("pub async fn go() {}\nstruct S;\nenum E { A }\ntrait T {}\nimpl<T> T for S {}\ntype A = u8;\nconst C: u8 = 1;\n/* fn no() {} */\n// fn neither()", {"go": "Function", "S": "Struct", "E": "Enum", "T": "Trait", "A": "Type", "C": "Constant"}),
     "ts": ("export interface I {}\nexport class C {}\ntype T = string;\nexport enum E {}\nexport async function f() {}", {"I": "Interface", "C": "Class", "T": "Type", "E": "Enum", "f": "Function"}),
